@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, packing, repeats, tokenfile
+from . import bpe, covertree, neardup, packing, repeats, tokenfile
 from .common import table
 from .tokens import tokenizer_path
 
@@ -34,12 +34,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 49408, 1)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.links(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_token_files": op7_token_files,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
