@@ -10,8 +10,8 @@
 5. Components of the true links, carried over to the copies.
 
 A pair that meets the threshold exactly shares no band with probability
-(1 - threshold**ROWS)**BANDS, 3e-6 at 0.85, and is still compared if any chain
-of buckets joins the two.
+(1 - threshold**rows)**BANDS; rows is the largest number that keeps this under
+MISS. Such a pair is still compared if any chain of buckets joins the two.
 
 Edge cases: documents with fewer words than a shingle have their whole sequence
 as the one shingle; those without words or text have no shingle and link with
@@ -33,12 +33,19 @@ from .common import in_bitmap, key_bitmap, materialize
 from .components import components
 from .textvec import U64, chunks, column_bytes, gram_sums, grams, mix, span_hash, spread, words
 
-BANDS, ROWS, BLOCK = 40, 8, 512
-BINS = BANDS * ROWS
+BANDS, MISS, BLOCK = 40, 1e-5, 512
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def band_rows(percent: int) -> int:
+    """Rows of a band: as many as keep the chance to miss a pair at the threshold under MISS."""
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** BANDS <= MISS:
+        rows += 1
+    return rows
+
+
 def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, and where each row's begin (n + 1 long)."""
     data, off = column_bytes(part.column("text"))
@@ -56,7 +63,7 @@ def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(each) if each else h), begin
 
 
-def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def signatures(h: np.ndarray, begin: np.ndarray, bins: int) -> np.ndarray:
     """One-permutation MinHash of rows with at least one shingle, no bin empty.
 
     The hash range is cut into bins; the least hash of each is its value. An
@@ -66,35 +73,35 @@ def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     n = len(begin) - 1
     size = np.diff(begin)
     row = np.repeat(np.arange(n), size)
-    bin_ = ((h >> U64(40)) * U64(BINS) >> U64(24)).astype(np.int64)
-    cell = row * BINS + bin_
+    bin_ = ((h >> U64(40)) * U64(bins) >> U64(24)).astype(np.int64)
+    cell = row * bins + bin_
     first = np.concatenate([[True], cell[1:] != cell[:-1]])
-    out = np.zeros(n * BINS, U64)
-    full = np.zeros(n * BINS, bool)
+    out = np.zeros(n * bins, U64)
+    full = np.zeros(n * bins, bool)
     out[cell[first]] = h[first]
     full[cell[first]] = True
     empty, attempt = np.flatnonzero(~full), 0
     while len(empty):
         attempt += 1
-        b = (empty % BINS).astype(U64)
-        pick = (mix(b * U64(1 << 20) + U64(attempt)) % U64(BINS)).astype(np.int64)
-        donor = empty - empty % BINS + pick
+        b = (empty % bins).astype(U64)
+        pick = (mix(b * U64(1 << 20) + U64(attempt)) % U64(bins)).astype(np.int64)
+        donor = empty - empty % bins + pick
         ok = full[donor]
         out[empty[ok]] = out[donor[ok]]
         empty = empty[~ok]
-    return out.reshape(n, BINS)
+    return out.reshape(n, bins)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band, different bands having different keys."""
     out = np.repeat(np.arange(BANDS, dtype=U64)[None, :], len(sig), 0)
-    cube = sig.reshape(len(sig), BANDS, ROWS)
-    for j in range(ROWS):
+    cube = sig.reshape(len(sig), BANDS, -1)
+    for j in range(cube.shape[2]):
         out = mix(out * U64(0x9E3779B97F4A7C15) + cube[:, :, j])
     return out
 
 
-def _sketch(size: int):
+def _sketch(size: int, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -106,7 +113,7 @@ def _sketch(size: int):
                 if len(has):
                     one[has] = np.add.reduceat(mix(h + U64(1)), begin[has])
                     two[has] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), begin[has])
-                    keys = band_keys(signatures(h, np.append(begin[has], begin[-1])))
+                    keys = band_keys(signatures(h, np.append(begin[has], begin[-1]), bins))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "bands"])
 
@@ -180,7 +187,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     """(doc_id, n_shingles, component_id, kept): links at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     text = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    sketch = materialize(text.mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "sketch")
+    sketch = materialize(text.mapInArrow(_sketch(size, BANDS * band_rows(percent)), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "sketch")
     classes = materialize(
         sketch.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("n", "d1", "d2", "x.*"),
         "classes",
@@ -206,3 +213,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
+
+
+def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """``docs`` with one row of each group, the one with the least doc_id; rows without doc_id stay."""
+    found = near_duplicates(docs, percent, size)
+    rest = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

@@ -177,7 +177,7 @@ def locate(h: np.ndarray, first: np.ndarray, keys: np.ndarray, place_keys: np.nd
     return np.cumsum(covered[:-1]) > 0
 
 
-def _apply(size: int, names: list[str], text: str):
+def _apply(size: int, names: list[str], text: str, layout: bool):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         data, off = column_bytes(docs.column(text))
@@ -185,8 +185,11 @@ def _apply(size: int, names: list[str], text: str):
         gone = locate(span_hash(data, s, e), first, docs.column(ROW).to_numpy(), places.column("k").to_numpy(), places.column("s").to_numpy(), size)
         lost = np.concatenate([[0], np.cumsum(gone)])[first]
         lost = np.diff(lost)
-        kept = []
+        kept, as_was = [], docs.column(text).to_pylist() if layout else []
         for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            if layout and not lost[i]:
+                kept.append(as_was[i])
+                continue
             w = data[a:b].tobytes().split()
             if lost[i]:
                 w = compress(w, (~gone[first[i] : first[i + 1]]).tolist())
@@ -197,9 +200,10 @@ def _apply(size: int, names: list[str], text: str):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 35, layout: bool = False) -> DataFrame:
     """Documents with recurring passages cut out of ``text``, kept words joined by one space.
 
+    With ``layout`` a text that loses nothing stays exactly as it was.
     Adds n_words (before) and n_removed; a clashing input column is replaced.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
@@ -210,4 +214,4 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     places = recurring(keyed, size, shards).withColumnRenamed("shard", SHARD)
     dealt = keyed.withColumn(SHARD, F.pmod(ROW, F.lit(shards)).cast("int"))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return dealt.groupBy(SHARD).cogroup(places.groupBy(SHARD)).applyInArrow(_apply(size, names, "text"), schema)
+    return dealt.groupBy(SHARD).cogroup(places.groupBy(SHARD)).applyInArrow(_apply(size, names, "text", layout), schema)
