@@ -9,10 +9,11 @@ window that covers it also starts elsewhere, in the same document or another.
    it passes too much, the count in step 2 discards it.
 2. Confirmation: the remaining windows are counted by hash over all documents.
    Of each recurring window and shard (a hash of the row) one place is kept.
-3. Location: per shard, the kept places join to recurring passages; every
-   TILE-th phrase of a passage goes into an Aho-Corasick automaton; all
-   documents of the shard stream through it; each hit is extended word by word
-   against its passage, and stretches of at least ``size`` words are removed.
+3. Location: per shard, the kept places join to recurring passages; phrases at
+   every (size + 1) // 2 words of a passage, at least one whole one in each of
+   its windows, go into an Aho-Corasick automaton; all documents of the shard
+   stream through it; each hit is extended word by word against its passage,
+   and stretches of at least ``size`` words are removed.
 
 A window frequent in the corpus has one row for each batch and shard after the
 map side, so no task gathers its occurrences.
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from .common import in_bitmap, key_bitmap, parts
 from .textvec import U64, chunks, column_bytes, gram_sums, grams, span_hash, spread, words
 
-PHRASE, CHUNK, SHARD_BYTES = 8, 8 << 20, 16 << 20
+PHRASE, CHUNK, SHARD_BYTES, RADIX = 8, 4 << 20, 6 << 20, 32
 ROW, SHARD = "repeat_row_key", "repeat_shard"
 
 
@@ -124,6 +125,24 @@ def recurring(docs: DataFrame, size: int, shards: int) -> DataFrame:
     return one.select("shard", "at.k", "at.s")
 
 
+def _spelled(code: np.ndarray, used: np.ndarray) -> tuple[str, int]:
+    """Word codes as one string of ``width`` characters a word.
+
+    Each place in a word has its own RADIX characters, so that a node of the
+    automaton has few children and a match can only begin at a word. Words that
+    no pattern has are all spelled alike.
+    """
+    width = 1
+    while RADIX**width < len(used):
+        width += 1
+    at = np.minimum(np.searchsorted(used, code), len(used) - 1)
+    out = np.full((len(code), width), 7 * RADIX + 1, np.uint8)
+    known = used[at] == code
+    for k in range(width):
+        out[known, k] = k * RADIX + at[known] // RADIX**k % RADIX
+    return out.tobytes().decode("latin-1"), width
+
+
 def locate(h: np.ndarray, first: np.ndarray, keys: np.ndarray, place_keys: np.ndarray, place_starts: np.ndarray, size: int) -> np.ndarray:
     """Which words of a shard's documents are covered by its recurring passages."""
     n = len(h)
@@ -140,24 +159,27 @@ def locate(h: np.ndarray, first: np.ndarray, keys: np.ndarray, place_keys: np.nd
     end = at[np.append(np.flatnonzero(fresh)[1:] - 1, len(at) - 1)] + size
     np.add.at(covered, begin, 1)
     np.add.at(covered, end, -1)
-    tile = (size + 1) // 2
-    seq = code.tolist()
-    patterns: dict[tuple, list[tuple[int, int]]] = {}
-    for j, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
-        for p in range(a, b - tile + 1, tile):
-            patterns.setdefault(tuple(seq[p : p + tile]), []).append((j, p - a))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for words_, where in patterns.items():
-        automaton.add_word(words_, where)
+    tile, seed = (size + 1) // 2, min(PHRASE, (size + 1) // 2)
+    tiles = (end - begin) // tile
+    owner = np.repeat(np.arange(len(begin)), tiles)
+    into = spread(np.zeros(len(begin), np.int64), tiles) * tile
+    heads = begin[owner] + into
+    text, width = _spelled(code, np.unique(code[(heads[:, None] + np.arange(seed)).reshape(-1)]))
+    patterns: dict[str, list[tuple[int, int]]] = {}
+    for p, j, t in zip(heads.tolist(), owner.tolist(), into.tolist()):
+        patterns.setdefault(text[p * width : (p + seed) * width], []).append((j, t))
+    automaton = ahocorasick.Automaton()
+    for phrase, where in patterns.items():
+        automaton.add_word(phrase, where)
     automaton.make_automaton()
     begin_l, end_l = begin.tolist(), end.tolist()
     for ws, we in zip(first[:-1].tolist(), first[1:].tolist()):
         if we - ws < size:
             continue
         seen = set()
-        for stop, where in automaton.iter(tuple(seq[ws:we])):
+        for stop, where in automaton.iter(text[ws * width : we * width]):
             for j, t in where:
-                shift = ws + stop - tile + 1 - t  # where the passage would begin
+                shift = ws + (stop + 1) // width - seed - t  # where the passage would begin
                 a, b = begin_l[j], end_l[j]
                 if shift == a or (j, shift) in seen:
                     continue
