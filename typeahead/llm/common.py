@@ -85,3 +85,9 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bits = int(len(bitmap)).bit_length() - 1 + 6
     k = keys.view(np.uint64) >> np.uint64(64 - bits)
     return (bitmap[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) != 0
+
+
+def broadcast_within(df: DataFrame, size, most: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast if the rows measure at most ``most`` bytes; beyond it the join shuffles."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
