@@ -41,7 +41,7 @@ def unsigned(c: Column) -> Column:
 def shown_id(c: Column) -> Column:
     """The unsigned value of a bit pattern."""
     wide = c.cast("decimal(20,0)")
-    return F.when(c < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+    return F.when(c < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
 def _drop_one(c: Column) -> Column:

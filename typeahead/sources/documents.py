@@ -66,7 +66,7 @@ def key_collisions(docs: DataFrame) -> DataFrame:
     return docs.groupBy("id").agg(F.count_distinct(F.coalesce("key", F.lit(""))).alias("keys")).filter("keys > 1")
 
 
-def _row(d, where: str) -> tuple:
+def check_row(d, where: str) -> tuple:
     d = d if isinstance(d, dict) else d.asDict() if hasattr(d, "asDict") else d.to_dict()
     for c in d:
         if c not in (*FIELDS, "key"):
@@ -106,7 +106,7 @@ def from_rows(spark: SparkSession, source) -> DataFrame:
         source = source.to_dicts()
     elif hasattr(source, "to_dict") and not isinstance(source, Iterable | dict) or hasattr(source, "iloc"):
         source = source.to_dict("records")
-    rows = [(*_row(d, f"document {k}"), k) for k, d in enumerate(source)]
+    rows = [(*check_row(d, f"document {k}"), k) for k, d in enumerate(source)]
     return last_wins(spark.createDataFrame(rows, SCHEMA + ", position long")).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
