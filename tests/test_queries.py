@@ -36,3 +36,14 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "rank", "id", "score", "kind"]
     assert set(Q.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_stands_without_the_training_operators():
+    """The library imports nothing of the subpackage that may be missing."""
+    import pathlib
+    import re
+
+    root = pathlib.Path(entry.__file__).parent / "typeahead"
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert not re.search(r"^\s*(from|import)\s.*\bllm\b", f.read_text(), re.M), f

@@ -28,12 +28,15 @@ def query_set(queries: DataFrame, limit: int) -> DataFrame:
     return queries.select(F.col("qid").cast("string").alias("qid"), "query", lim.alias("lim"), F.coalesce(ctx, F.array().cast("array<string>")).alias("ctx"))
 
 
-def direct(ix: Index, q: DataFrame, prefix: DataFrame, inside: DataFrame) -> DataFrame:
+def sources(ix: Index, q: DataFrame) -> DataFrame:
+    """(qid, id, source) of all direct sources of prepared queries."""
+    found = {"prefix": title_prefix, "exact": exact_title, "infix": infix, "abbreviation": abbreviation}
+    rows = [f(ix, q).withColumn("source", F.lit(name)) for name, f in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def direct(rows: DataFrame) -> DataFrame:
     """(qid, id, is_exact, from_prefix, is_abbreviation): precedence among the direct sources."""
-    tagged = [d.withColumn("source", F.lit(s)) for s, d in (("prefix", prefix), ("exact", exact_title(ix, q)), ("infix", inside), ("abbreviation", abbreviation(ix, q)))]
-    rows = tagged[0]
-    for d in tagged[1:]:
-        rows = rows.unionByName(d)
     has = lambda s: F.max(F.col("source") == s)
     by = rows.groupBy("qid", "id").agg(has("exact").alias("is_exact"), (has("prefix") | has("exact")).alias("titled"), has("infix").alias("inside"), has("abbreviation").alias("is_abbreviation"))
     return by.select("qid", "id", "is_exact", (F.col("titled") | F.col("is_abbreviation") & ~F.col("inside")).alias("from_prefix"), "is_abbreviation")
@@ -82,36 +85,34 @@ def rank(ix: Index, q: DataFrame, found: DataFrame) -> DataFrame:
 def one_pass(ix: Index, queries: DataFrame, depth: int) -> DataFrame:
     """Hits of (qid, query, lim, ctx); corrections below depth 2, run-together words at depth 0."""
     q = prepare(queries)
-    prefix, inside = title_prefix(ix, q), infix(ix, q)
-    if depth == 2:
-        plain = direct(ix, q, prefix, inside)
-        blank = [F.lit(None).cast("int").alias("distance"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("own")]
-        return rank(ix, q, plain.select("*", *blank))
-    q, prefix, inside = cut(q), cut(prefix), cut(inside)
-    plain = cut(direct(ix, q, prefix, inside))
     blank = [F.lit(None).cast("int").alias("distance"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("own")]
+    if depth == 2:
+        return rank(ix, q, direct(sources(ix, q)).select("*", *blank))
+    rows = cut(sources(ix, q))
+    plain = direct(rows)
     found = plain.select("*", *blank)
-    count = prefix.groupBy("qid").agg(F.count("*").alias("hits"))
-    reached = prefix.select("qid").unionByName(inside.select("qid")).distinct().withColumn("reached", F.lit(True))
-    needy = q.join(count, "qid", "left").join(reached, "qid", "left").filter((F.coalesce("hits", F.lit(0)) < F.col("lim")) & (F.col("n") >= 3))
-    needy = cut(needy.withColumn("stuck", F.col("reached").isNull()).drop("hits", "reached"))
-    if needy.take(1):
+    is_, one_word = (lambda s: F.col("source") == s), (F.instr("q", " ") == 0) & (F.col("n") > 8)
+    count = rows.groupBy("qid").agg(F.count(F.when(is_("prefix"), 1)).alias("titles"), F.count(F.when(is_("prefix") | is_("infix"), 1)).alias("reached"))
+    state = q.join(count, "qid", "left").withColumn("needy", (F.coalesce("titles", F.lit(0)) < F.col("lim")) & (F.col("n") >= 3))
+    state = cut(state.withColumn("run_on", one_word).withColumn("stuck", F.coalesce("reached", F.lit(0)) == 0))
+    any_needy, any_run_on = state.agg(F.max("needy"), F.max("run_on")).first()
+    if any_needy:
+        needy = state.filter("needy")
         spelled = cut(phrases(ix, needy))
         if spelled.filter("source = 'spelling'").take(1):
             fuzzy = corrected(ix, needy, spelled).join(plain.select("qid", "id"), ["qid", "id"], "left_anti")
             no = F.lit(False)
             found = found.unionByName(fuzzy.select("qid", "id", no.alias("is_exact"), no.alias("from_prefix"), no.alias("is_abbreviation"), "distance", "place", "own"))
-    hits = cut(rank(ix, q, found))
-    if depth == 0:
-        direct_kinds = hits.filter("kind in ('exact', 'prefix', 'abbreviation')").select("qid").distinct()
-        run_on = q.filter((F.instr("q", " ") == 0) & (F.col("n") > 8)).join(direct_kinds, "qid", "left_anti")
-        run_on = cut(run_on.withColumn("query", F.col("q")).withColumn("ql", F.col("q")).withColumn("stuck", F.lit(False)))
-        if run_on.take(1):
-            first = phrases(ix, run_on).filter("source = 'compound' and rank = 0").join(run_on.select("qid", "q", "lim", "ctx"), "qid").filter("phrase <> q")
-            first = cut(first.select("qid", F.col("phrase").alias("query"), "lim", "ctx"))
-            if first.take(1):
-                hits = hits.join(first.select("qid"), "qid", "left_anti").select(*HITS).unionByName(one_pass(ix, first, 1).select(*HITS))
-    return hits.select(*HITS)
+    hits = rank(ix, q, found).select(*HITS)
+    if depth == 0 and any_run_on:
+        hits = cut(hits)
+        met = hits.filter("kind in ('exact', 'prefix', 'abbreviation')").select("qid").distinct()
+        asked = state.filter("run_on").join(met, "qid", "left_anti").withColumn("query", F.col("q")).withColumn("ql", F.col("q")).withColumn("stuck", F.lit(False))
+        first = phrases(ix, asked).filter("source = 'compound' and rank = 0").join(asked.select("qid", "q", "lim", "ctx"), "qid").filter("phrase <> q")
+        first = cut(first.select("qid", F.col("phrase").alias("query"), "lim", "ctx"))
+        if first.take(1):
+            hits = hits.join(first.select("qid"), "qid", "left_anti").select(*HITS).unionByName(one_pass(ix, first, 1))
+    return hits
 
 
 def ranked(ix: Index, q: DataFrame, retry: bool = True) -> DataFrame:
@@ -125,10 +126,12 @@ def ranked(ix: Index, q: DataFrame, retry: bool = True) -> DataFrame:
     if retry:
         words = T.words(T.lower(F.col("query")))
         long = F.filter(words, lambda w: F.length(w) >= ix.build.min_word_chars)
-        again = q.filter("short_q is null").join(hits.select("qid").distinct(), "qid", "left_anti").filter((F.size(long) > 0) & (F.size(long) < F.size(words)))
-        again = cut(again.select("qid", F.array_join(long, " ").alias("query"), "lim", "ctx"))
-        if again.take(1):
-            hits = hits.unionByName(ranked(ix, again, False))
+        mixed = q.filter("short_q is null").filter((F.size(long) > 0) & (F.size(long) < F.size(words)))
+        if mixed.take(1):
+            again = mixed.join(hits.select("qid").distinct(), "qid", "left_anti")
+            again = cut(again.select("qid", F.array_join(long, " ").alias("query"), "lim", "ctx"))
+            if again.take(1):
+                hits = hits.unionByName(ranked(ix, again, False))
     return hits
 
 
