@@ -115,11 +115,18 @@ def train(counts: np.ndarray, lang: list[str]) -> Centroids:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS) -> Centroids | None:
-    """Learn from at most ``per_language`` texts of each language and ``rows`` in all, least hash first."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """Learn from at most ``per_language`` texts of each language and ``rows`` in all, least hash first.
+
+    Languages are counted first; a share of their hash range that holds some
+    four times the wanted texts goes on to be ranked, so that no task ranks a
+    whole language.
+    """
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    rated = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    share = rated.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("share"))
     ids = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-        .select("doc_id", "lang")
+        rated.join(share, "lang")
+        .filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
         .withColumn("k", F.row_number().over(order))
         .filter(F.col("k") <= per_language)
         .orderBy("k", "lang")
