@@ -185,7 +185,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(ranks)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 4 << 20):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -212,7 +212,7 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
         enc = codec(ranks)
         made = enc.codec
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 4 << 20):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 one, two = [], []

@@ -15,6 +15,7 @@ from .common import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = materialize(low, "least")  # so that a node with very many edges is a skewed join, which Spark splits
     hung = both.join(low, "u")
     if large:
         out = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

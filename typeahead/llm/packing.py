@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 4 << 20):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 doc, piece, start, length, crc = [], [], [], [], []
                 tail = np.array([end_id], "<u4").tobytes()

@@ -59,7 +59,7 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` text bytes, at least one row each."""
     n = batch.num_rows
     if not n:

@@ -150,7 +150,7 @@ def write_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end_
         enc, writer, ctx = encoder(tokenizer, False), None, TaskContext.get()
         name = f"{out}/part-{ctx.partitionId():06d}.tok"
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 4 << 20):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
                 writer = writer or Writer(name, bits, ctx.taskAttemptId())
