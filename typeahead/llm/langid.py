@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_within, materialize
 from .labelled import held_out
 from .textvec import chunks, column_bytes
 
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROW
     rated = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     share = rated.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("share"))
     ids = (
-        rated.join(share, "lang")
+        rated.join(broadcast_within(materialize(share, "languages"), F.length("lang") + 8), "lang")
         .filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
         .withColumn("k", F.row_number().over(order))
         .filter(F.col("k") <= per_language)
