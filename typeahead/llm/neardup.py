@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import in_bitmap, key_bitmap, materialize
 from .components import components
-from .textvec import U64, chunks, column_bytes, gram_sums, grams, mix, span_hash, spread, words
+from .textvec import U64, chunks, column_bytes, give_back, gram_sums, grams, mix, span_hash, spread, words
 
 BANDS, MISS, BLOCK = 40, 1e-5, 512
 LOWER = np.arange(256, dtype=np.uint8)
@@ -116,6 +116,7 @@ def _sketch(size: int, bins: int):
                     keys = band_keys(signatures(h, np.append(begin[has], begin[-1]), bins))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "bands"])
+        give_back()
 
     return run
 
@@ -129,6 +130,7 @@ def _member_sets(size: int, bitmap):
                 raw = memoryview(h.tobytes())
                 at = (8 * begin).tolist()
                 yield pa.record_batch([part.column("doc_id"), pa.array([bytes(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())], names=["u", "items"])
+        give_back()
 
     return run
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_bitmap, key_bitmap, parts
-from .textvec import U64, chunks, column_bytes, gram_sums, grams, span_hash, spread, words
+from .textvec import U64, chunks, column_bytes, give_back, gram_sums, grams, span_hash, spread, words
 
 PHRASE, CHUNK, SHARD_BYTES, RADIX = 8, 4 << 20, 6 << 20, 32
 ROW, SHARD = "repeat_row_key", "repeat_shard"
@@ -80,6 +80,7 @@ def _phrase_counts(size: int):
                     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
                     h, n = np.unique(phrase[at].view(np.int64), return_counts=True)
                     yield pa.record_batch([pa.array(h), pa.array(n)], names=["h", "n"])
+        give_back()
 
     return run
 

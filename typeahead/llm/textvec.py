@@ -8,6 +8,7 @@ random byte values, so that hashing costs a few array passes and no loop.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker outlives its task and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, and the first word of each document (n + 1 long)."""
     n = len(data)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import TRAIN_ROWS, held_out, sample
-from .textvec import BASE, BYTE_VALUE, U64, chunks, column_bytes, mix, powers
+from .textvec import BASE, BYTE_VALUE, U64, chunks, column_bytes, give_back, mix, powers
 
 BUCKETS, FEATURES, FACTORS, PREFIXES, CHI_SQUARE = 1 << 20, 2048, 4, (4, 5, 6), 15.0
 LOWER = np.arange(256, dtype=np.uint8)
@@ -188,5 +188,6 @@ def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 yield part.filter(pa.array(shared.value.score(part) < 0.5)).select(names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
