@@ -47,3 +47,8 @@ def test_core_stands_without_the_training_operators():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", f.read_text(), re.M), f
+
+
+def test_hybrid_search_answers_every_query(spark):
+    got = {r.qid for r in Q.QUERIES["hybrid_search"](spark, "/root/testdata/sf0.01").select("qid").distinct().collect()}
+    assert got == {r.qid for r in Q.vector_asks(spark, "/root/testdata/sf0.01").collect()}
