@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textvec import U64, chunks, column_bytes, first_of, mix, span_hash
+from .textvec import U64, chunks, column_bytes, first_of, give_back, mix, span_hash
 from .tokens import PRETOKEN, CachedEncoder, spaced_units
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(ranks)
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text"):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -212,7 +212,7 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
         enc = codec(ranks)
         made = enc.codec
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text"):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 one, two = [], []
@@ -220,5 +220,6 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
                     one.append(hashlib.sha256(raw[4 * a : 4 * b]).hexdigest())
                     two.append(hashlib.sha256(made.decode(ids[a:b].tolist())).hexdigest())
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(at)), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, RESULT)

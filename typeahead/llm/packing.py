@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textvec import chunks, column_bytes
+from .textvec import chunks, column_bytes, give_back
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text"):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 doc, piece, start, length, crc = [], [], [], [], []
                 tail = np.array([end_id], "<u4").tobytes()
@@ -59,6 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         length.append(m)
                         crc.append(zlib.crc32(tail, c) if s == n else c)
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

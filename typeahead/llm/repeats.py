@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import in_bitmap, key_bitmap, parts
 from .textvec import U64, chunks, column_bytes, give_back, gram_sums, grams, span_hash, spread, words
 
-PHRASE, CHUNK, SHARD_BYTES, RADIX = 8, 4 << 20, 6 << 20, 32
+PHRASE, SHARD_BYTES, RADIX = 8, 6 << 20, 32
 ROW, SHARD = "repeat_row_key", "repeat_shard"
 
 
@@ -74,7 +74,7 @@ def anchors(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np
 def _phrase_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
+            for part in chunks(batch, "text"):
                 _, at, phrase = anchors(*_batch_words(part, "text"), size)
                 if len(at):
                     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
@@ -88,7 +88,7 @@ def _phrase_counts(size: int):
 def _window_rows(size: int, bitmap, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
+            for part in chunks(batch, "text"):
                 h, first = _batch_words(part, "text")
                 starts, at, phrase = anchors(h, first, size)
                 if not len(starts):

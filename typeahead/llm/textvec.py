@@ -9,12 +9,16 @@ random byte values, so that hashing costs a few array passes and no loop.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+pa.set_memory_pool(pa.system_memory_pool())  # what it frees, ``give_back`` can return
+
 U64 = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,22 +26,49 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(20240601)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Text bytes that the operators work on at once.
+CHUNK = 1 << 20
+#: Length of the power tables; sums over longer arrays go on in blocks of it.
+SPAN = 1 << 16
+
+
+@lru_cache
+def _table(base: int) -> np.ndarray:
+    p = np.full(SPAN, U64(base))
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def _steps(base: int, n: int) -> np.ndarray:
+    """base**(SPAN * i) modulo 2**64 for i < n."""
+    p = np.full(max(n, 1), U64(pow(base, SPAN, 1 << 64)))
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def running(items: np.ndarray, base: int, value: np.ndarray | None = None) -> np.ndarray:
+    """Running sums of items[i] * base**i (of value[items[i]] if given), with a zero in front.
+
+    The powers come from two short tables, so that no table grows with the longest text seen.
+    """
+    n, low = len(items), _table(base)
+    high = _steps(base, -(-n // SPAN))
+    out = np.empty(n + 1, U64)
+    out[0] = 0
+    for k, a in enumerate(range(0, n, SPAN)):
+        part = items[a : a + SPAN] if value is None else value[items[a : a + SPAN]]
+        block = out[a + 1 : a + 1 + len(part)]
+        np.cumsum(part * low[: len(part)], out=block)
+        block *= high[k]
+        block += out[a]
+    return out
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, U64(b))
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[base] = (out[0], out[1])
-    return have
+def shifted(x: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    """x * base**-at: differences of running sums, freed of their place."""
+    inverse = pow(base, -1, 1 << 64)
+    high = _steps(inverse, (int(at.max()) // SPAN + 1) if len(at) else 1)
+    return x * _table(inverse)[at & (SPAN - 1)] * high[at // SPAN]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,8 +91,12 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about ``limit`` text bytes, at least one row each."""
+def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``limit`` text bytes, at least one row each.
+
+    A text is never cut: one longer than ``limit`` is a slice of its own, and the
+    arrays over it take some 40 bytes for each of its bytes while it is worked on.
+    """
     n = batch.num_rows
     if not n:
         return
@@ -76,6 +111,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
 
 def give_back() -> None:
     """Return freed memory to the system, as a worker outlives its task and serves later stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -103,25 +139,18 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
-    n = len(data)
-    p, inv = powers(BASE, n + 1)
-    run = np.empty(n + 1, U64)
-    run[0] = 0
-    np.cumsum(BYTE_VALUE[data] * p[:n], out=run[1:])
-    return mix((run[e] - run[s]) * inv[s] + (e - s).astype(U64) * U64(0xA24BAED4963EE407))
+    run = running(data, BASE, BYTE_VALUE)
+    return mix(shifted(run[e] - run[s], s, BASE) + (e - s).astype(U64) * U64(0xA24BAED4963EE407))
 
 
 def gram_sums(h: np.ndarray) -> np.ndarray:
     """Running sums from which ``grams`` takes the hash of any run of items."""
-    run = np.empty(len(h) + 1, U64)
-    run[0] = 0
-    np.cumsum(h * powers(WORD_BASE, len(h) + 1)[0][: len(h)], out=run[1:])
-    return run
+    return running(h, WORD_BASE)
 
 
 def grams(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of items start..end-1, equal for equal sequences wherever they stand."""
-    return mix((run[end] - run[start]) * powers(WORD_BASE, len(run))[1][start] + (end - start).astype(U64))
+    return mix(shifted(run[end] - run[start], start, WORD_BASE) + (end - start).astype(U64))
 
 
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:

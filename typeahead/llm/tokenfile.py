@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, parts
-from .textvec import chunks, column_bytes
+from .textvec import chunks, column_bytes, give_back
 from .tokens import encoder
 
 BLOCK, MAGIC = 1 << 14, 0x314B50544B4F54  # a multiple of 8 ids, so that blocks end on bytes
@@ -150,11 +150,12 @@ def write_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end_
         enc, writer, ctx = encoder(tokenizer, False), None, TaskContext.get()
         name = f"{out}/part-{ctx.partitionId():06d}.tok"
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text"):
                 ids, at = enc.encode(*column_bytes(part.column("text")))
                 ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
                 writer = writer or Writer(name, bits, ctx.taskAttemptId())
                 writer.add(part.column("doc_id").to_pylist(), ids, np.diff(at))
+        give_back()
         if writer:
             writer.close()
             yield pa.record_batch([pa.array([ctx.partitionId()]), pa.array([name]), pa.array([writer.ids])], names=["k", "file", "ids"])

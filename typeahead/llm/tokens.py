@@ -101,16 +101,24 @@ def spaced_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cut_marks(data, us, ue, off)
 
 
+#: Text units that a worker remembers, at most.
+UNITS = 120_000
+
+
 class CachedEncoder:
-    """``encode_units``: list of unit strings -> (flat ids, ids per unit)."""
+    """``encode_units``: list of unit strings -> (flat ids, ids per unit).
+
+    A remembered unit is found by its hash and confirmed by its bytes.
+    """
 
-    def __init__(self, units: Callable, encode_units: Callable, limit: int = 400_000):
+    def __init__(self, units: Callable, encode_units: Callable, limit: int = UNITS):
         self.units, self.encode_units, self.limit = units, encode_units, limit
         self.now = 0
         self._reset()
 
     def _reset(self) -> None:
         self.slot: dict[int, int] = {}
+        self.name: list[bytes] = []
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.at = np.zeros(1 << 14, np.int64)
@@ -120,16 +128,16 @@ class CachedEncoder:
     def _evict(self) -> None:
         """Keep what the last two chunks used."""
         hashes = np.fromiter(self.slot, np.uint64, len(self.slot))
-        n = len(hashes)
+        n, name = len(hashes), self.name
         keep = np.flatnonzero(self.stamp[:n] >= self.now - 2)
         if len(keep) > self.limit // 2:
             keep = keep[:0]
         lens = self.len[keep]
         flat = self.flat[spread(self.at[keep], lens)]
         self._reset()
-        self._store(hashes[keep].tolist(), flat, lens)
+        self._store(hashes[keep].tolist(), [name[k] for k in keep.tolist()], flat, lens)
 
-    def _store(self, hashes: list[int], flat: np.ndarray, lens: np.ndarray) -> None:
+    def _store(self, hashes: list[int], name: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
         n, k = len(self.slot), len(hashes)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -140,6 +148,7 @@ class CachedEncoder:
         self.len[n : n + k] = lens
         self.stamp[n : n + k] = self.now
         self.used += len(flat)
+        self.name += name
         self.slot.update(zip(hashes, range(n, n + k)))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +162,16 @@ class CachedEncoder:
         names = uniq.tolist()
         if len(self.slot) + len(names) > self.limit:
             self._evict()
-        new = [i for i, h in enumerate(names) if h not in self.slot]
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
+        known = [self.slot.get(h, -1) for h in names]
+        if any(k >= 0 and self.name[k] != t for k, t in zip(known, texts)):  # two units of one hash
+            self._reset()
+            known = [-1] * len(names)
+        new = [i for i, k in enumerate(known) if k < 0]
         if new:
-            raw = data.tobytes()
-            where = first[new]
-            flat, lens = self.encode_units([raw[a:b].decode() for a, b in zip(s[where].tolist(), e[where].tolist())])
-            self._store([names[i] for i in new], flat, lens)
+            flat, lens = self.encode_units([texts[i].decode() for i in new])
+            self._store([names[i] for i in new], [texts[i] for i in new], flat, lens)
         slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
         self.stamp[slots] = self.now
         slots = slots[codes]

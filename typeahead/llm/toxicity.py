@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import TRAIN_ROWS, held_out, sample
-from .textvec import BASE, BYTE_VALUE, U64, chunks, column_bytes, give_back, mix, powers
+from .textvec import BASE, BYTE_VALUE, U64, chunks, column_bytes, give_back, mix, running, shifted
 
 BUCKETS, FEATURES, FACTORS, PREFIXES, CHI_SQUARE = 1 << 20, 2048, 4, (4, 5, 6), 15.0
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,17 +47,14 @@ def terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= ~solid[:-1] | edge[1:n]
     end[:-1] &= ~solid[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    p, inv = powers(BASE, n + 1)
-    run = np.empty(n + 1, U64)
-    run[0] = 0
-    np.cumsum(BYTE_VALUE[data] * p[:n], out=run[1:])
+    run = running(data, BASE, BYTE_VALUE)
     row = np.searchsorted(off, s, "right") - 1
-    rows, out = [row], [mix((run[e] - run[s]) * inv[s]) % U64(BUCKETS)]
+    rows, out = [row], [mix(shifted(run[e] - run[s], s, BASE)) % U64(BUCKETS)]
     for k in PREFIXES:
         long = np.flatnonzero(e - s > k)
         a = s[long]
         rows.append(row[long])
-        out.append(mix((run[a + k] - run[a]) * inv[a] + U64(k)) % U64(BUCKETS))
+        out.append(mix(shifted(run[a + k] - run[a], a, BASE) + U64(k)) % U64(BUCKETS))
     return np.concatenate(rows), np.concatenate(out).astype(np.int64)
 
 
