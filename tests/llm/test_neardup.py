@@ -53,6 +53,7 @@ def test_op6_equals_brute_force(spark):
 @pytest.mark.parametrize("block", [512, 7])
 def test_chains_and_large_groups(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "STAR", block)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -83,3 +84,45 @@ def test_components(spark):
     want = roots({x for e in edges for x in e}, edges)
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_a_chain_of_five_thousand(spark):
+    """Each text is its neighbour's near copy and far from the others; all are one component."""
+    w = [f"w{i}" for i in range(5000 * 3 + 120)]
+    rows = [(9000 - i, " ".join(w[3 * i : 3 * i + 120])) for i in range(5000)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 85)
+    assert {(r.n_shingles, r.component_id) for r in got.select("n_shingles", "component_id").distinct().collect()} == {(116, 4001)}
+    assert got.filter("kept").count() == 1
+
+
+def test_family_of_members_that_hardly_link(spark, monkeypatch):
+    """One bucket family of several clusters and sizes, compared block by block."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "STAR", 5)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for c in range(12):
+        own = list(base)
+        for k in rng.sample(range(150), 4):
+            own[k] = f"c{c}"
+        for j in range(8):
+            one = list(own)
+            one[rng.randrange(150)] = f"m{j}"
+            rows.append((len(rows), " ".join(one + [f"t{k}" for k in range(rng.choice([0, 0, 20, 40]))])))
+    want, n = brute(rows, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == want and n > 50
+
+
+def test_repeated_ids(spark):
+    """A repeated id with another text is a document of its own, and none is lost."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (3, b, 3), (5, a, 1), (7, c, 4), (7, c.upper(), 5), (None, a, 6), (None, a, 6), (9, "", 7), (9, None, 8), (9, "", 9), (4, a + "x", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).filter("doc_id is not null and n_shingles > 0").collect())
+    assert got == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 4, False), (5, 4, False), (7, 7, True), (7, 7, True)]
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    texts = sorted(str((r.doc_id, (r.text or "")[:4].lower())) for r in kept.collect())
+    assert texts == sorted(map(str, [(3, "b0 b"), (4, "a0 a"), (7, "c0 c"), (9, ""), (None, "a0 a"), (None, "a0 a")]))

@@ -1,7 +1,11 @@
 """Connected components of an edge table, without a driver-side graph.
 
 Alternates large-star and small-star steps: each is one min-aggregation and one
-join over the edges; the rounds grow with the logarithm of the longest path.
+join over the edges; the rounds grow with the logarithm of the longest path, and
+stop as soon as every node hangs on its root by one edge.
+
+Edge cases: loops and repeated edges do not count; null ends are dropped; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and no root has one."""
+    one = F.lit(1).cast("long")
+    ends = edges.select(F.col("u").alias("x"), one.alias("down"), (one * 0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), (one * 0).alias("down"), one.alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (u, root): the least node reachable from each node but the root itself."""
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        now = materialize(_star(_star(now, True), False), "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
-            return now.select("u", F.col("v").alias("root"))
-        state = new
+    spark = edges.sparkSession
+    with scratch(spark) as outer:
+        now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+        while not _settled(now):
+            with scratch(spark) as round_:
+                now = round_.keep(materialize(_star(_star(now, True), False), "edges"))
+        return outer.keep(now).select("u", F.col("v").alias("root"))
