@@ -2,13 +2,15 @@
 
 Bound-certified repacking: pieces are dealt to partitions, each packed by
 best-fit decreasing and given a lower bound from dual feasible functions. A
-partition whose bin count meets its bound is certified optimal and stays. From
-the others the bins that have room are pooled (documents exchange partitions),
-packed again, and the better of old and new packing is kept.
+partition whose bin count meets its bound is certified optimal. From the others
+the bins that have room, and from all the bins at most half full, are pooled
+(documents exchange partitions), packed again, and the better of old and new
+packing is kept, until a round saves less than one sequence in SAVING.
 
 Edge cases: null text is an empty document (it still gets its end id); an empty
-table gives an empty result; repeated rows and ids are packed row by row; extra
-columns are ignored by ``token_pieces`` and carried by nobody.
+table gives an empty result; repeated rows and ids, and rows without doc_id, are
+packed row by row; pieces of equal length go in order of doc_id and piece; a
+long text gives as many pieces as it needs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 from .textvec import chunks, column_bytes, give_back
 from .tokens import encoder
 
+SAVING = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, load long, gap long"
 
@@ -124,7 +127,7 @@ def _pack_group(capacity: int, again: int):
         length = group.column("length").to_numpy()
         bins = best_fit_decreasing(length, capacity)
         n, least = int(bins.max()) + 1, lower_bound(length, capacity)
-        seq = (np.int64(again) << 60) | (np.int64(part) << 30) | bins
+        seq = (np.int64(again) << 56) | (np.int64(part) << 20) | bins
         if again:
             old = group.column("sequence_id").to_numpy()
             names, codes = np.unique(old, return_inverse=True)
@@ -143,27 +146,32 @@ def _pack_group(capacity: int, again: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds: int = 2) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds: int = 100) -> DataFrame:
     """Place each piece (length 1..capacity) in a sequence, at a gapless offset.
 
-    ``per_part`` bounds the pieces that one task packs; with ``rounds``
-    exchanges after the first packing. ``gap`` is the distance from the bound
-    of the group that packed the row last; 0 certifies that group.
+    ``per_part`` (under 2**20) bounds the pieces that one task packs; ``rounds``
+    (under 128) the exchanges, which end by themselves when they stop paying.
+    ``gap`` is the distance from the bound of the group that packed the row
+    last; 0 certifies that group.
     """
-    pieces = materialize(pieces, "pieces")
-    n = max(1, -(-pieces.count() // per_part))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
-    packed = materialize(dealt.groupBy("part").applyInArrow(_pack_group(capacity, 0), PACKED), "packed")
-    for again in range(1, rounds + 1):
-        loose = packed.filter((F.col("gap") > 0) & (F.col("load") < capacity))
-        left = loose.count()
-        if not left:
-            break
-        m = max(1, -(-left // per_part))
-        regroup = loose.withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(again)), F.lit(m)))
-        better = regroup.groupBy("part").applyInArrow(_pack_group(capacity, again), PACKED)
-        packed = materialize(packed.filter((F.col("gap") <= 0) | (F.col("load") >= capacity)).unionByName(better), "packed")
-    return packed
+    spark = pieces.sparkSession
+    with scratch(spark) as made:
+        pieces = materialize(pieces, "pieces")
+        n = max(1, -(-pieces.count() // per_part))
+        dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+        packed = materialize(dealt.groupBy("part").applyInArrow(_pack_group(capacity, 0), PACKED), "packed")
+        loose = ((F.col("gap") > 0) & (F.col("load") < capacity)) | (2 * F.col("load") <= capacity)
+        used = None
+        for again in range(1, rounds + 1):
+            before, used = used, packed.filter("offset = 0").count()
+            left = packed.filter(loose).count()
+            if not left or (before is not None and before - used <= used // SAVING):
+                break
+            m = max(1, -(-left // per_part))
+            regroup = packed.filter(loose).withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(again)), F.lit(m)))
+            better = regroup.groupBy("part").applyInArrow(_pack_group(capacity, again), PACKED)
+            packed = materialize(packed.filter(~loose).unionByName(better), "packed")
+        return made.keep(packed)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -101,84 +101,123 @@ def spaced_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cut_marks(data, us, ue, off)
 
 
-#: Text units that a worker remembers, at most.
-UNITS = 120_000
+#: Text units that a worker remembers, at most; those of one chunk come on top.
+UNITS = 400_000
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    while len(x) < n:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
+class _Runs:
+    """Runs of items of one type, each found by its number."""
+
+    def __init__(self, kind):
+        self.flat = np.zeros(1 << 16, kind)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.n = 0
+
+    def get(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All items of the runs in order, and their lengths."""
+        lens = self.ends[which + 1] - self.ends[which]
+        return self.flat[spread(self.ends[which], lens)], lens
+
+    def add(self, items: np.ndarray, lens: np.ndarray) -> None:
+        at, to = int(self.ends[self.n]), self.n + len(lens)
+        self.flat, self.ends = _grown(self.flat, at + len(items)), _grown(self.ends, to + 1)
+        self.flat[at : at + len(items)] = items
+        self.ends[self.n + 1 : to + 1] = at + np.cumsum(lens)
+        self.n = to
 
 
 class CachedEncoder:
     """``encode_units``: list of unit strings -> (flat ids, ids per unit).
 
-    A remembered unit is found by its hash and confirmed by its bytes.
+    Units met before are found in an open-addressing table by their hash and
+    confirmed by their bytes, a whole chunk at a time.
     """
 
     def __init__(self, units: Callable, encode_units: Callable, limit: int = UNITS):
         self.units, self.encode_units, self.limit = units, encode_units, limit
-        self.now = 0
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.name: list[bytes] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 14, np.int64)
-        self.len = np.zeros(1 << 14, np.int64)
-        self.stamp = np.zeros(1 << 14, np.int64)
+        self.hash = np.zeros(1 << 14, np.uint64)
+        self.uses = np.zeros(1 << 14, np.int32)
+        self.ids, self.bytes = _Runs(np.uint32), _Runs(np.uint8)
+        self.table = np.zeros(1 << 16, np.int32)  # number of a unit + 1
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each unit, or -1."""
+        mask, out = len(self.table) - 1, np.full(len(hashes), -1, np.int64)
+        left, at = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            found = self.table[at].astype(np.int64) - 1
+            hit = (found >= 0) & (self.hash[found] == hashes[left])
+            out[left[hit]] = found[hit]
+            go = (found >= 0) & ~hit
+            left, at = left[go], at[go] + 1 & mask
+        return out
+
+    def _place(self, begin: int) -> None:
+        """Enter the units from ``begin`` on; all of them where the table has to grow."""
+        if 2 * self.ids.n > len(self.table):
+            self.table, begin = np.zeros(1 << (4 * self.ids.n).bit_length(), np.int32), 0
+        mask, number = len(self.table) - 1, np.arange(begin, self.ids.n)
+        at = (self.hash[number] & np.uint64(mask)).astype(np.int64)
+        while len(number):
+            free = self.table[at] == 0
+            self.table[at[free]] = number[free] + 1
+            go = self.table[at] != number + 1
+            number, at = number[go], at[go] + 1 & mask
 
     def _evict(self) -> None:
-        """Keep what the last two chunks used."""
-        hashes = np.fromiter(self.slot, np.uint64, len(self.slot))
-        n, name = len(hashes), self.name
-        keep = np.flatnonzero(self.stamp[:n] >= self.now - 2)
-        if len(keep) > self.limit // 2:
-            keep = keep[:0]
-        lens = self.len[keep]
-        flat = self.flat[spread(self.at[keep], lens)]
+        """Keep the half of the units that most chunks used, their counts halved."""
+        keep = np.sort(np.argsort(-self.uses[: self.ids.n], kind="stable")[: self.limit // 2])
+        hashes, uses, ids, raw = self.hash[keep], self.uses[keep] // 2, self.ids.get(keep), self.bytes.get(keep)
         self._reset()
-        self._store(hashes[keep].tolist(), [name[k] for k in keep.tolist()], flat, lens)
-
-    def _store(self, hashes: list[int], name: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
-        n, k = len(self.slot), len(hashes)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + k > len(self.at):
-            self.at, self.len, self.stamp = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len, self.stamp))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.at[n : n + k] = self.used + np.cumsum(lens) - lens
-        self.len[n : n + k] = lens
-        self.stamp[n : n + k] = self.now
-        self.used += len(flat)
-        self.name += name
-        self.slot.update(zip(hashes, range(n, n + k)))
+        self._store(hashes, ids, raw)
+        self.uses[: len(keep)] = uses
+
+    def _store(self, hashes: np.ndarray, ids: tuple[np.ndarray, np.ndarray], raw: tuple[np.ndarray, np.ndarray]) -> None:
+        n, to = self.ids.n, self.ids.n + len(hashes)
+        self.hash, self.uses = _grown(self.hash, to), _grown(self.uses, to)
+        self.hash[n:to], self.uses[n:to] = hashes, 0
+        self.ids.add(*ids)
+        self.bytes.add(*raw)
+        self._place(n)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk and the first id of each document (n + 1 long)."""
         s, e, uoff = self.units(data, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        self.now += 1
-        codes, uniq = pd.factorize(span_hash(data, s, e))
-        first = first_of(codes, len(uniq))
-        names = uniq.tolist()
-        if len(self.slot) + len(names) > self.limit:
+        if self.ids.n > self.limit:
             self._evict()
-        raw = data.tobytes()
-        texts = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
-        known = [self.slot.get(h, -1) for h in names]
-        if any(k >= 0 and self.name[k] != t for k, t in zip(known, texts)):  # two units of one hash
+        codes, names = pd.factorize(span_hash(data, s, e))
+        first = first_of(codes, len(names))
+        begin, lens = s[first], e[first] - s[first]
+        slots = self._find(names)
+        known = np.flatnonzero(slots >= 0)
+        if not self._same(data, begin[known], lens[known], slots[known]):  # two units of one hash
             self._reset()
-            known = [-1] * len(names)
-        new = [i for i, k in enumerate(known) if k < 0]
-        if new:
-            flat, lens = self.encode_units([texts[i].decode() for i in new])
-            self._store([names[i] for i in new], [texts[i] for i in new], flat, lens)
-        slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
-        self.stamp[slots] = self.now
-        slots = slots[codes]
-        lens = self.len[slots]
-        ids = self.flat[spread(self.at[slots], lens)]
+            slots[:] = -1
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw, texts = data[spread(begin[new], lens[new])], data.tobytes()
+            got = self.encode_units([texts[a:b].decode() for a, b in zip(begin[new].tolist(), (begin + lens)[new].tolist())])
+            slots[new] = self.ids.n + np.arange(len(new))
+            self._store(names[new], got, (raw, lens[new]))
+        self.uses[slots] += 1
+        ids, lens = self.ids.get(slots[codes])
         return ids, np.concatenate([[0], np.cumsum(lens)])[uoff]
 
+    def _same(self, data: np.ndarray, begin: np.ndarray, lens: np.ndarray, slots: np.ndarray) -> bool:
+        raw, held = self.bytes.get(slots)
+        return np.array_equal(held, lens) and np.array_equal(raw, data[spread(begin, lens)])
+
 
 def library_encoder(path: str, units: Callable) -> CachedEncoder:
     """An encoder over a ``tokenizers`` file; special strings in a text are ordinary text."""
