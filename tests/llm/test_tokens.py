@@ -166,7 +166,12 @@ def test_op7_reads_back_what_it_wrote(spark, small, hard_docs):
         assert tuple(r) == (d.doc_id, at, len(ids), crc(ids))
         at += len(ids)
     path = tokenizer_path("word_bpe_49k.json")
-    assert tokenfile.write_and_read(hard_docs, path, 49408, 1).count() == hard_docs.count()
+    more = hard_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id"), (None, None), (-5, "first")], "doc_id long, text string"))
+    got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.write_and_read(more, path, 49408, 1).collect())
+    ids = {(-1 if r.doc_id is None else r.doc_id, len(f(r.text)) + 1, crc(f(r.text) + [1])) for r in more.collect()}
+    assert {g[1:] for g in got} == ids and len(got) == more.count()
+    assert [g[0] for g in got] == np.cumsum([0] + [g[2] for g in got[:-1]]).tolist()
+    assert [g[1] for g in got] == [-1, -1, -5] + sorted(g[1] for g in got[3:])
     assert tokenfile.write_and_read(hard_docs.limit(0), path, 49408, 1).count() == 0
 
 

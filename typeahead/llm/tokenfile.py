@@ -9,9 +9,13 @@ each document, so that any range unpacks by itself with array operations:
 The footer holds bits, block length, ids, documents, start of the offset tables,
 and the magic number. Little-endian throughout.
 
+Documents are encoded where they are read; their ids, not their texts, are then
+dealt to files by ranges of doc_id.
+
 Edge cases: null text is an empty document (its end id is still written); an
 empty table writes no file and gives no row; rows with the same doc_id are
-written one after another, by text.
+written one after another, by a hash of the text; rows without doc_id come first
+and are read back without one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from .textvec import chunks, column_bytes, give_back
 from .tokens import encoder
 
 BLOCK, MAGIC = 1 << 14, 0x314B50544B4F54  # a multiple of 8 ids, so that blocks end on bytes
+FILE_BYTES, MISSING = 512 << 20, -(1 << 63)  # text of a file; the doc_id of a row without one
 
 
 def width(vocabulary: int) -> int:
@@ -77,11 +82,11 @@ class Writer:
         self.wait: list[np.ndarray] = []
         self.waiting = self.ids = self.at = 0
         self.blocks: list[int] = []
-        self.docs: list[int] = []
+        self.docs: list[np.ndarray] = []
         self.lens: list[np.ndarray] = []
 
-    def add(self, docs: list[int], ids: np.ndarray, lens: np.ndarray) -> None:
-        self.docs += docs
+    def add(self, docs: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.docs.append(docs)
         self.lens.append(lens)
         self.wait.append(ids)
         self.waiting += len(ids)
@@ -101,8 +106,9 @@ class Writer:
 
     def close(self) -> None:
         self._flush(True)
+        docs = np.concatenate(self.docs).astype("<i8")
         first = np.concatenate([[0], np.cumsum(np.concatenate(self.lens))]).astype("<u8")
-        for x in (np.array(self.blocks, "<u8"), np.array(self.docs, "<i8"), first, np.array([self.bits, BLOCK, self.ids, len(self.docs), self.at, MAGIC], "<u8")):
+        for x in (np.array(self.blocks, "<u8"), docs, first, np.array([self.bits, BLOCK, self.ids, len(docs), self.at, MAGIC], "<u8")):
             self.out.write(x.tobytes())
         self.out.close()
         self.fs.move(self.temp, self.path)
@@ -138,30 +144,68 @@ class Reader:
         return self.ids(int(self.first[i]), int(self.first[i + 1]))
 
 
+KEYED = f"coalesce(cast(doc_id as long), {MISSING}) doc_id", "xxhash64(text) h"
+
+
+def file_bounds(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least (doc_id, h) of each of at most n files of about equal rows, but for the first."""
+    dealt = docs.selectExpr(*KEYED).repartitionByRange(n, "doc_id", "h")
+    rows = dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.*").collect()
+    rows = sorted(tuple(r) for r in rows)[1:]
+    return np.array([d for d, _ in rows], np.int64), np.array([h for _, h in rows], np.int64)
+
+
+def file_of(doc_id: np.ndarray, h: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many bounds are at or under each row."""
+    low, high = (np.searchsorted(bounds[0], doc_id, side) for side in ("left", "right"))
+    for i in np.flatnonzero(low < high).tolist():
+        low[i] += np.searchsorted(bounds[1][low[i] : high[i]], h[i], "right")
+    return low.astype(np.int32)
+
+
+def _encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, bounds: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(file, doc_id, h, ids): ids with the end id as an array of ``kind``, h a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, False)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                ids, at = enc.encode(*column_bytes(part.column("text")))
+                ids, at = np.insert(ids, at[1:], np.uint32(end_id)).astype(kind), at + np.arange(len(at))
+                held = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)])
+                number = file_of(part.column("doc_id").to_numpy(), part.column("h").to_numpy(), bounds)
+                yield pa.record_batch([pa.array(number), part.column("doc_id"), part.column("h"), held.cast(pa.binary())], names=["file", "doc_id", "h", "ids"])
+        give_back()
+
+    return docs.selectExpr(*KEYED, "text").mapInArrow(run, "file int, doc_id long, h long, ids binary")
+
+
 def write_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end_id: int, n: int) -> list[tuple[str, int]]:
-    """Encode (doc_id, text) in ascending doc_id order; (file, ids) in that order.
+    """Encode (doc_id, text) and write it in ascending doc_id order; (file, ids) in that order.
 
     One small row per file comes back to the driver. A retried task writes the
     same file again under the same name.
     """
     bits = width(vocabulary)
+    kind = "<u2" if bits <= 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, ctx = encoder(tokenizer, False), None, TaskContext.get()
+        writer, ctx = None, TaskContext.get()
         name = f"{out}/part-{ctx.partitionId():06d}.tok"
         for batch in batches:
-            for part in chunks(batch, "text"):
-                ids, at = enc.encode(*column_bytes(part.column("text")))
-                ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
-                writer = writer or Writer(name, bits, ctx.taskAttemptId())
-                writer.add(part.column("doc_id").to_pylist(), ids, np.diff(at))
-        give_back()
+            held = batch.column("ids").cast(pa.large_binary())
+            off = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, held.offset * 8)
+            raw = np.frombuffer(held.buffers()[2], np.uint8)[off[0] : off[-1]] if len(held) else np.zeros(0, np.uint8)
+            writer = writer or Writer(name, bits, ctx.taskAttemptId())
+            writer.add(batch.column("doc_id").to_numpy(), raw.view(kind).astype(np.uint32), np.diff(off) // np.dtype(kind).itemsize)
         if writer:
             writer.close()
             yield pa.record_batch([pa.array([ctx.partitionId()]), pa.array([name]), pa.array([writer.ids])], names=["k", "file", "ids"])
+        give_back()
 
-    dealt = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(run, "k long, file string, ids long").collect()
+    bounds = file_bounds(docs, n)
+    dealt = _encoded(docs, tokenizer, kind, end_id, bounds).repartitionById(len(bounds[0]) + 1, "file").sortWithinPartitions("doc_id", "h")
+    rows = dealt.select("doc_id", "ids").mapInArrow(run, "k long, file string, ids long").collect()
     return [(r.file, r.ids) for r in sorted(rows)]
 
 
@@ -184,7 +228,7 @@ def read_files(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
                     raw = memoryview(r.ids(int(first[0]), int(first[-1])).astype("<u4").tobytes())
                     at = (4 * (first - first[0])).tolist()
                     crc = [zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])]
-                    yield pa.record_batch([pa.array(r.docs[a:b]), pa.array(base + first[:-1]), pa.array(np.diff(first)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.record_batch([pa.array(r.docs[a:b], mask=r.docs[a:b] == MISSING), pa.array(base + first[:-1]), pa.array(np.diff(first)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     a = b
 
     return listed.repartition(len(files)).mapInArrow(run, result)
@@ -193,4 +237,6 @@ def read_files(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
 def write_and_read(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> DataFrame:
     """Write the corpus in doc_id order to the shared folder and read the files back."""
     spark = docs.sparkSession
-    return read_files(spark, write_files(docs, new_path(spark, "token-files"), tokenizer, vocabulary, end_id, parts(spark)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(parts(spark), -(-total // FILE_BYTES))
+    return read_files(spark, write_files(docs, new_path(spark, "token-files"), tokenizer, vocabulary, end_id, n))
