@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, covertree, langid, neardup, packing, quality, repeats, tokenfile, toxicity, wrappers
 from .common import table
+from .oracle import ORACLE_SQL
 from .tokens import tokenizer_path
 
 
@@ -70,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
