@@ -50,31 +50,31 @@ def test_published_scores(spark):
     assert [(r.id, round(r.score, 4)) for r in alias] == [(1, 0.6637)]
 
 
-CASES = [
-    ("Welcome to the Jungle", 0.5), ("Welcome Home", 0.9), ("The secret world of bees", 0.5), ("Topology for beginners", 0.9),
-    ("Machine learning", 0.5), ("Kerning", 0.9), ("Eigeninitiative", 0.5), ("Red teaming", 0.5),
+SHELVES = [
+    ("Harvest Moon Over Lisbon", 0.5), ("Harvest Lane", 0.9), ("A quiet garden of stones", 0.5), ("Gardening tools", 0.9),
+    ("Copper kettle", 0.5), ("Coping saw", 0.9), ("Treppenhausfenster", 0.5), ("Night sailing", 0.5),
 ]
 
 
 def test_corrections(spark):
-    ix = built(from_rows(spark, [{"id": k, "text": t, "popularity": p} for k, (t, p) in enumerate(CASES, 1)]))
-    got = answers(ix, spark, "welcoem to", "the sercet wor", "welcome to", "machine lerning", "eigeniniative", "AI red teaming")
+    ix = built(from_rows(spark, [{"id": k, "text": t, "popularity": p} for k, (t, p) in enumerate(SHELVES, 1)]))
+    got = answers(ix, spark, "havrest moon", "quiet gadren of", "harvest moon", "coper kettle", "trepenhausfenster", "XY night sailing")
     first = {q: hits[0][:2] for q, hits in got.items()}
-    assert first["welcoem to"] == (1, "fuzzy")
-    assert first["the sercet wor"] == (3, "fuzzy")
-    assert first["welcome to"] == (1, "prefix")
-    assert first["machine lerning"][0] == 5
-    assert first["eigeniniative"][0] == 7
-    assert first["AI red teaming"][0] == 8
+    assert first["havrest moon"] == (1, "fuzzy")
+    assert first["quiet gadren of"] == (3, "fuzzy")
+    assert first["harvest moon"] == (1, "prefix")
+    assert first["coper kettle"][0] == 5
+    assert first["trepenhausfenster"][0] == 7
+    assert first["XY night sailing"][0] == 8
 
 
 def test_exact_ties_and_contexts(spark):
     rows = [{"id": i, "text": f"product {i}", "popularity": 0.5, "contexts": ["even" if i % 2 == 0 else "odd"]} for i in range(300)]
-    rows += [{"id": 1000, "text": "C# (programming language)", "abbreviations": ["C#"]}, {"id": 1001, "text": "Carbon"}, {"id": 1002, "text": "Car classification"}]
+    rows += [{"id": 1000, "text": "B& (letter pair)", "abbreviations": ["B&"]}, {"id": 1001, "text": "Basalt"}, {"id": 1002, "text": "Bass tuning"}]
     ix = built(from_rows(spark, rows))
-    got = answers(ix, spark, "product 12", "c#", limit=5)
+    got = answers(ix, spark, "product 12", "b&", limit=5)
     assert got["product 12"][0][:2] == (12, "exact")
-    assert [h[0] for h in got["c#"]] == [1000]
+    assert [h[0] for h in got["b&"]] == [1000]
     assert {h[0] % 2 for h in answers(ix, spark, "product", limit=5, contexts=["odd"])["product"]} == {1}
 
 
@@ -91,13 +91,13 @@ def test_segments_and_whole_agree(spark):
 
 
 def test_layers(spark):
-    cat = [("mv", "Machine Vision", 0.4), ("ml", "Machine Learning", 0.9), ("mt", "Machine Translation", 0.2)]
+    cat = [("rb", "River Boat", 0.4), ("rs", "River Stone", 0.9), ("rm", "River Mouth", 0.2)]
     base = from_rows(spark, [{"id": k, "text": t, "popularity": p} for k, t, p in cat])
     key = {r.key: r.id for r in base.collect()}
-    over = from_rows(spark, [{"id": "mv", "text": "Computer vision", "popularity": 0.4}])
-    stack = [L.Layer("shared", built(base)), L.Layer("tenant", built(over), spark.createDataFrame([(key["mt"],)], "id long"))]
-    got = L.complete_layers(stack, ask(spark, "machine", "vision")).collect()
-    assert {(r.qid, r.id, r.layer) for r in got} == {("machine", key["ml"], 0), ("vision", key["mv"], 1)}
+    over = from_rows(spark, [{"id": "rb", "text": "Harbour boat", "popularity": 0.4}])
+    stack = [L.Layer("shared", built(base)), L.Layer("tenant", built(over), spark.createDataFrame([(key["rm"],)], "id long"))]
+    got = L.complete_layers(stack, ask(spark, "river", "boat")).collect()
+    assert {(r.qid, r.id, r.layer) for r in got} == {("river", key["rs"], 0), ("boat", key["rb"], 1)}
     with pytest.raises(LayerNotFoundError, match="did you mean 'tenant'"):
         L.pick({"tenant": stack[1]}, ["tenent"])
     assert L.pick({}, ["x"], True) == []
@@ -136,3 +136,31 @@ def test_sources(spark, tmp_path):
 def test_kth_smallest(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("x"))
     assert [kth_smallest(df, "x", k, keep=20) for k in (0, 500, 999)] == [0.0, 500.0, 999.0]
+
+
+def test_the_last_row_of_an_id_wins(spark):
+    rows = spark.createDataFrame([(1, "old"), (2, "b"), (1, "new")], "id long, text string").coalesce(1)
+    assert sorted((r.id, r.text) for r in from_rows(spark, rows).collect()) == [(1, "new"), (2, "b")]
+    assert sorted((r.id, r.title) for r in Index.from_documents(from_rows(spark, rows)).docs.collect()) == [(1, "new"), (2, "b")]
+
+
+def test_lines_are_counted_with_blank_ones(spark, tmp_path):
+    f = tmp_path / "d.jsonl"
+    f.write_text('{"id": 1, "text": "a"}\n\n\n{"id": \n')
+    with pytest.raises(InvalidInputError, match="line 4"):
+        read_json_lines(spark, str(f))
+
+
+def test_synonyms_scale_by_the_first_even_if_it_is_a_direct_hit(spark):
+    kinds = "qid long, id long, score double, kind string, rank int"
+    direct = spark.createDataFrame([(0, 1, 0.4, "prefix", 1)], kinds)
+    synonyms = spark.createDataFrame([(0, 1, 0.8, "synonym", 1), (0, 2, 0.5, "synonym", 2)], kinds)
+    got = {r.id: round(r.score, 4) for r in L.with_synonyms(direct, synonyms, 5).collect()}
+    assert got == {1: 0.4, 2: 0.2375}
+
+
+def test_a_missing_listed_layer_still_counts(spark):
+    ix = built(from_rows(spark, [{"id": i, "text": f"pear {i}", "popularity": 0.5} for i in range(9)]))
+    one = [L.Layer("base", ix)]
+    assert L._fetch(one, None, 5, 4) == 5 and L._fetch(one, 2, 5, 4) == 20
+    assert L.complete_layers(one, ask(spark, "pear"), 5, 4, 2).count() == 5

@@ -58,3 +58,14 @@ def test_hints():
     assert closest("documets", ["documents", "deletes"]) == "documents"
     assert closest("zzz", ["documents"]) is None
     assert issubclass(InvalidInputError, ValueError)
+
+
+def test_marks_by_each_rule():
+    from typeahead.functions.edits import highlight
+
+    assert highlight("gar qui", "A Quiet Garden") == [(2, 5), (8, 11)]
+    assert highlight("gadren", "A Quiet Garden") == [(8, 14)]
+    assert highlight("quietgard", "A Quiet Garden") == [(2, 7), (8, 14)]
+    assert highlight("a a", "a b") == [(0, 1)]
+    assert highlight("zz", "a b") == []
+    assert highlight("", "a") == highlight("a", "") == []

@@ -43,7 +43,7 @@ class Namespace:
             queries = queries.withColumn("contexts", F.lit(list(o.contexts)))
         if not found:
             return queries.select("qid").limit(0)
-        return search(found, queries, o.limit, o.overfetch, **more)
+        return search(found, queries, o.limit, o.overfetch, len(names), **more)
 
     def complete(self, names, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
         return self._run(L.complete_layers, names, queries, options)

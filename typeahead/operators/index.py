@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidInputError
 from ..functions import text as T
 from ..plans.options import BuildOptions, IndexOptions
+from ..sources.documents import last_wins
 
 NO_SCORE = 750.0
 
@@ -63,7 +64,8 @@ class Index:
 
     @classmethod
     def from_documents(cls, documents: DataFrame, build: BuildOptions | None = None, options: IndexOptions | None = None) -> Index:
-        return cls(documents, build, options)
+        """An index of documents of any source; of rows with one id the last is kept."""
+        return cls(last_wins(documents), build, options)
 
     def cache(self) -> Index:
         """Keep the tables that every query set reads."""

@@ -60,39 +60,43 @@ def merge(layers: list[Layer], per_layer: list[DataFrame], limit: int, scaled: b
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("qid", "id", "score", "kind", "layer", "rank")
 
 
-def _fetch(names: int, limit: int, overfetch: int) -> int:
-    return limit * overfetch if names > 1 else limit
+def _fetch(layers: list[Layer], listed: int | None, limit: int, overfetch: int) -> int:
+    """What each layer is asked for; a listed layer that is missing counts as well."""
+    return limit * overfetch if (listed or len(layers)) > 1 else limit
 
 
-def complete_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4) -> DataFrame:
-    n = _fetch(len(layers), limit, overfetch)
+def complete_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None) -> DataFrame:
+    n = _fetch(layers, listed, limit, overfetch)
     return merge(layers, [ranked(x.index, query_set(queries, n)) for x in layers], limit)
 
 
-def aliases_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4) -> DataFrame:
-    n = _fetch(len(layers), limit, overfetch)
+def aliases_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None) -> DataFrame:
+    n = _fetch(layers, listed, limit, overfetch)
     return merge(layers, [complete_aliases(x.index, query_set(queries, n)).withColumn("kind", F.lit("synonym")) for x in layers], limit)
 
 
-def vectors_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4) -> DataFrame:
-    n = _fetch(len(layers), limit, overfetch)
+def vectors_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None) -> DataFrame:
+    n = _fetch(layers, listed, limit, overfetch)
     return merge(layers, [vector_search(x.index, queries, n).withColumn("kind", F.lit("semantic")) for x in layers], limit, scaled=False)
 
 
-def hybrid_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, options: HybridOptions | None = None) -> DataFrame:
+def hybrid_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None, options: HybridOptions | None = None) -> DataFrame:
     o = options or HybridOptions()
     n = o.fetch(limit)
     kind = queries.schema["qid"].dataType
-    lexical = complete_layers(layers, queries, n, overfetch).withColumn("qid", F.col("qid").cast(kind))
-    return fuse(lexical, vectors_layers(layers, queries, n, overfetch), limit, o)
+    lexical = complete_layers(layers, queries, n, overfetch, listed).withColumn("qid", F.col("qid").cast(kind))
+    return fuse(lexical, vectors_layers(layers, queries, n, overfetch, listed), limit, o)
 
 
 def with_synonyms(direct: DataFrame, synonyms: DataFrame, limit: int) -> DataFrame:
-    """Append synonym hits that are no direct hits, scaled below the weakest of those, while there is room."""
+    """Append synonym hits that are no direct hits, scaled below the weakest of those, while there is room.
+
+    The scale is set by the first synonym hit, be it a direct hit or not.
+    """
     low = direct.groupBy("qid").agg(F.min("score").alias("low"), F.count("*").alias("have"))
-    extra = synonyms.join(direct.select("qid", "id"), ["qid", "id"], "left_anti").join(low, "qid", "left")
-    top = F.max("score").over(Window.partitionBy("qid"))
+    top = synonyms.groupBy("qid").agg(F.min_by("score", "rank").alias("top"))
+    extra = synonyms.join(direct.select("qid", "id"), ["qid", "id"], "left_anti").join(low, "qid", "left").join(top, "qid")
     scale = F.when(F.col("low").isNull() | (F.col("top") <= 0), F.lit(1.0)).otherwise(F.least(F.lit(0.95) * F.col("low") / F.col("top"), F.lit(1.0)))
-    extra = extra.withColumn("top", top).select("qid", "id", (F.col("score") * scale).alias("score"), F.lit("synonym").alias("kind"), (F.coalesce("have", F.lit(0)) + F.col("rank")).alias("place"))
+    extra = extra.select("qid", "id", (F.col("score") * scale).alias("score"), F.lit("synonym").alias("kind"), (F.coalesce("have", F.lit(0)) + F.col("rank")).alias("place"))
     rows = direct.select("qid", "id", "score", "kind", F.col("rank").alias("place")).unionByName(extra)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).filter(F.col("rank") <= limit).drop("place")

@@ -7,7 +7,7 @@ BLANK = r"'[\t-\r\x1c-\x20]+'"
 
 PART = """d0 AS (SELECT p_partkey AS id, p_name AS text, CAST(p_retailprice / (SELECT max(p_retailprice) FROM part) AS FLOAT) AS w,
   [p_brand, p_type] AS tags, [p_type] AS synonyms, [left(p_name, 1) || left(split_part(p_name, ' ', 2), 1)] AS abbreviations FROM part)"""
-TITLES = """d0 AS (SELECT doc_id AS id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text,
+TITLES = """d0 AS (SELECT doc_id AS id, text,
   CAST(ln(1 + n_chars) / ln(1 + (SELECT max(n_chars) FROM documents)) AS FLOAT) AS w, [lang, source] AS tags,
   CAST([] AS VARCHAR[]) AS synonyms, CAST([] AS VARCHAR[]) AS abbreviations FROM documents)"""
 

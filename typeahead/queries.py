@@ -57,11 +57,10 @@ def part_docs(spark, d) -> DataFrame:
 
 
 def title_docs(spark, d) -> DataFrame:
-    """The first six words of texts, weighted by length."""
+    """Whole texts, weighted by length."""
     p = table(spark, d, "documents")
     top = p.agg(F.max("n_chars").alias("top"))
-    text = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    rows = p.crossJoin(F.broadcast(top)).select(F.col("doc_id").alias("id"), text.alias("text"), (F.log(F.lit(1) + F.col("n_chars")) / F.log(F.lit(1) + F.col("top"))).cast("float").alias("popularity"), F.array("lang", "source").alias("contexts"))
+    rows = p.crossJoin(F.broadcast(top)).select(F.col("doc_id").alias("id"), "text", (F.log(F.lit(1) + F.col("n_chars")) / F.log(F.lit(1) + F.col("top"))).cast("float").alias("popularity"), F.array("lang", "source").alias("contexts"))
     return to_documents(rows)
 
 
@@ -269,10 +268,14 @@ def did_you_mean(spark, d):
     return spark.createDataFrame([(x, closest(x, names)) for x in ("GERMANI", "frence", "xyz")], "name string, nearest string")
 
 
-@query("SELECT p_partkey AS id, CAST([] AS INTEGER[]) IS NULL AS none, 0 AS start_at, length('cold') AS end_at FROM part WHERE starts_with(p_name, 'cold')")
+MARKS = ("co", "wid")
+
+
+@query("WITH m AS (SELECT p_partkey AS id, list_sort(list_filter([strpos(' ' || lower(p_name), ' co') - 1, strpos(' ' || lower(p_name), ' wid') - 1], lambda x: x >= 0)) AS x, CASE WHEN strpos(' ' || lower(p_name), ' co') > 0 THEN 2 ELSE 0 END + CASE WHEN strpos(' ' || lower(p_name), ' wid') > 0 THEN 3 ELSE 0 END AS width FROM part) SELECT id, array_to_string(x, ',') AS starts, CAST(width AS BIGINT) AS width FROM m")
 def highlight_prefix(spark, d):
-    p = table(spark, d, "part").filter(F.startswith("p_name", F.lit("cold"))).withColumn("h", highlights(F.lit("cold"), F.col("p_name")))
-    return p.select(F.col("p_partkey").alias("id"), F.col("h").isNull().alias("none"), F.col("h")[0]["start"].alias("start_at"), F.col("h")[0]["end"].cast("long").alias("end_at"))
+    p = table(spark, d, "part").withColumn("h", highlights(F.lit(" ".join(MARKS)), F.col("p_name")))
+    starts = F.array_join(F.transform("h", lambda r: r["start"].cast("string")), ",")
+    return p.select(F.col("p_partkey").alias("id"), starts.alias("starts"), F.aggregate("h", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("width"))
 
 
 # segments
@@ -300,12 +303,11 @@ def last_copy_wins(spark, d):
     return last_wins(to_documents(ev, "position")).select("id", "text")
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS ids FROM (SELECT count(DISTINCT event_type) AS n, user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) < 0)")
+@query("SELECT user_id AS id, count(DISTINCT event_type) AS keys FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def key_collisions(spark, d):
     from .sources.documents import key_collisions as clash
 
-    ev = table(spark, d, "events").selectExpr("user_id id", "cast(null as string) key")
-    return clash(ev).agg(F.sum("keys").alias("ids"))
+    return clash(table(spark, d, "events").selectExpr("user_id id", "event_type key"))
 
 
 @query("SELECT p_partkey AS id, p_name AS text FROM part WHERE p_partkey = 7")
@@ -313,11 +315,16 @@ def point_lookup(spark, d):
     return Index(part_docs(spark, d)).document(7).select("id", "text")
 
 
-@query("WITH r(id, l) AS (VALUES (0, 255), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0)), g AS (SELECT *, id - row_number() OVER (PARTITION BY l ORDER BY id) AS grp FROM r) SELECT CAST(min(id) AS INTEGER) AS start_at, CAST(max(id) + 1 AS INTEGER) AS end_at FROM g WHERE l <> 255 GROUP BY l, grp HAVING count(*) >= 4 ORDER BY l LIMIT 1")
+@query("""WITH r AS (SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, CASE WHEN s_suppkey % 5 = 0 THEN 255 ELSE s_suppkey % 2 END AS l FROM supplier),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY nation, l ORDER BY pos) AS grp FROM r), runs AS (SELECT nation, l, min(pos) AS a, max(pos) + 1 AS b FROM g WHERE l <> 255 GROUP BY nation, l, grp HAVING count(*) >= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY l, a) AS k FROM runs) SELECT nation, CAST(a AS INTEGER) AS start_at, CAST(b AS INTEGER) AS end_at FROM o WHERE k = 1""")
 def compaction_runs(spark, d):
     from .storage.database import compaction_run
 
-    return spark.createDataFrame([compaction_run([255, 1, 1, 0, 0, 0, 0], 4)], "start_at int, end_at int")
+    pick = F.udf(lambda levels: compaction_run(levels, 1), "start_at int, end_at int")  # a fanout under two counts as two
+    level = F.when(F.col("s_suppkey") % 5 == 0, 255).otherwise(F.col("s_suppkey") % 2).cast("int")
+    segments = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", level.alias("l")))).alias("x"))
+    return segments.select("nation", pick(F.col("x.l")).alias("run")).filter("run is not null").select("nation", "run.*")
 
 
 @query()
@@ -437,7 +444,7 @@ def layer_vectors(spark, d):
 @query("""WITH x AS (SELECT p_size AS qid, p_partkey AS id, p_retailprice / 10000 AS score, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_partkey % 2 = 0),
 y AS (SELECT p_size AS qid, p_partkey AS id, p_retailprice / 1000 AS score, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part),
 dx AS (SELECT * FROM x WHERE r <= 4), lo AS (SELECT qid, min(score) AS low, count(*) AS have FROM dx GROUP BY qid),
-e AS (SELECT y.*, max(score) OVER (PARTITION BY y.qid) AS top FROM y WHERE r <= 10 AND NOT EXISTS (SELECT 1 FROM dx WHERE dx.qid = y.qid AND dx.id = y.id)),
+e AS (SELECT y.*, (SELECT z.score FROM y z WHERE z.qid = y.qid AND z.r = 1) AS top FROM y WHERE r <= 10 AND NOT EXISTS (SELECT 1 FROM dx WHERE dx.qid = y.qid AND dx.id = y.id)),
 u AS (SELECT qid, id, score, 'infix' AS kind, r AS place FROM dx UNION ALL SELECT e.qid, id, score * CASE WHEN low IS NULL OR top <= 0 THEN 1.0::DOUBLE ELSE least(0.95::DOUBLE * low / top, 1.0) END, 'synonym', coalesce(have, 0) + r FROM e LEFT JOIN lo USING (qid))
 SELECT CAST(qid AS INTEGER) AS qid, id, round(score, 6) AS score, kind, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM u) WHERE rank <= 6""")
 def collection_synonyms(spark, d):

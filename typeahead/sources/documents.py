@@ -52,10 +52,11 @@ def to_documents(df: DataFrame, position: str | None = None) -> DataFrame:
 
 def last_wins(docs: DataFrame) -> DataFrame:
     """One row per id: the one added last. Different keys under one id are an error."""
-    order = F.col("position") if "position" in docs.columns else F.monotonically_increasing_id()
     names = [c for c in docs.columns if c != "position"]
+    if "position" not in docs.columns:
+        docs = docs.withColumn("position", F.monotonically_increasing_id())
     best = docs.groupBy("id").agg(
-        F.max_by(F.struct(*names), order).alias("d"), F.min(F.coalesce("key", F.lit(""))).alias("one"), F.max(F.coalesce("key", F.lit(""))).alias("two")
+        F.max_by(F.struct(*names), "position").alias("d"), F.min(F.coalesce("key", F.lit(""))).alias("one"), F.max(F.coalesce("key", F.lit(""))).alias("two")
     )
     clash = F.col("one") != F.col("two")
     return best.select(F.when(clash, F.raise_error(F.concat(F.lit("keys "), "one", F.lit(" and "), "two", F.lit(" share an id")))).otherwise(F.col("d")).alias("d")).select("d.*")
@@ -94,9 +95,12 @@ def check_row(d, where: str) -> tuple:
 
 
 def from_rows(spark: SparkSession, source) -> DataFrame:
-    """Documents from dicts, rows, or anything with ``to_pylist``, ``to_dicts`` or ``to_dict('records')``; a dict of columns too."""
+    """Documents from dicts, rows, or anything with ``to_pylist``, ``to_dicts`` or ``to_dict('records')``; a dict of columns too.
+
+    Of rows with one id the last is kept, in a DataFrame by its partitions and their rows.
+    """
     if isinstance(source, DataFrame):
-        return to_documents(source)
+        return last_wins(to_documents(source)).select(*[c.split()[0] for c in SCHEMA.split(", ")])
     if isinstance(source, dict):
         names = list(source)
         source = [dict(zip(names, v)) for v in zip(*source.values(), strict=True)]
@@ -111,10 +115,11 @@ def from_rows(spark: SparkSession, source) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines, one document a line; blank lines are skipped, faults name their line."""
-    lines = spark.read.text(path, wholetext=False).filter(F.length(F.trim("value")) > 0)
+    """JSON Lines, one document a line; blank lines are skipped but counted, faults name their line."""
     rows = []
-    for k, r in enumerate(lines.toLocalIterator(), 1):
+    for k, r in enumerate(spark.read.text(path, wholetext=False).toLocalIterator(), 1):
+        if not r.value.strip():
+            continue
         try:
             rows.append(json.loads(r.value))
         except json.JSONDecodeError as e:
