@@ -4,7 +4,8 @@ Two-tier lookup: a minimal perfect hash resolves pre-tokens that are whole
 vocabulary entries; the others are merged with a heap of candidate pairs over a
 linked list of bytes.
 
-Edge cases: null text counts as empty; empty texts have no ids; the bytes of
+Edge cases: null text counts as empty; empty texts have no ids; an empty table gives an
+empty result; rows without doc_id are encoded as well; a long text is one slice; the bytes of
 any text survive the round trip; extra columns are dropped and repeated rows
 are encoded row by row.
 """

@@ -7,7 +7,9 @@ centroid (cosine) wins. A text further from its centroid than nearly all
 training members is marked as rejected.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
-rows without doc_id are held out; with no labelled row every text is ``und``;
+rows without doc_id are held out; texts are read whole, however long; of
+equally near languages the first by name wins; an empty table gives an empty result;
+with no labelled row every text is ``und``;
 repeated rows are predicted alike; other columns are ignored.
 """
 

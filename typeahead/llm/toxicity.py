@@ -7,7 +7,8 @@ weights and low-rank pair interactions, so that a pair such as an insult and a
 group term can count for more than its parts.
 
 Edge cases: null and empty texts have no term and get the score of the bias
-alone; rows without doc_id are held out; repeated rows score alike; with no
+alone; rows without doc_id are held out; repeated rows score alike; a text of any length is
+scored whole, ties go to 1 (score >= 0.5); an empty table gives an empty result; with no
 labelled rows of both kinds every score is the share of toxic labels (0 if
 there are none); other columns are ignored.
 """
