@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``docs``. Near-duplicates are five-
 word shingle sets with a similarity of 0.8 or more.
 
-Edge cases are those of the operators; rows that repeat a doc_id are one
-document from the third stage on.
+Edge cases are those of the operators: null and blank texts fail the base rules
+of the second stage and go; rows that repeat a doc_id with a text of their own are
+documents of their own; rows without doc_id stay in the near-copy stage; an empty
+table gives an empty result; stages before the last keep columns they do not know.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeahead.llm import neardup, packing, quality, repeats, toxicity
-from typeahead.llm.common import materialize, table
+from typeahead.llm.common import materialize, scratch, table
 from typeahead.llm.tokens import tokenizer_path
 
 
@@ -62,10 +64,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, texts going to Python in batches of at most BATCH_BYTES."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        with scratch(spark) as made:
+            docs = table(spark, sf_dir, "documents")
+            for k, (tag, stage) in enumerate(STAGES):
+                docs = stage(spark, docs, sf_dir)
+                if k < len(STAGES) - 1:
+                    docs = materialize(docs, tag)
+            return made.keep(docs)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
