@@ -164,3 +164,9 @@ def test_a_missing_listed_layer_still_counts(spark):
     one = [L.Layer("base", ix)]
     assert L._fetch(one, None, 5, 4) == 5 and L._fetch(one, 2, 5, 4) == 20
     assert L.complete_layers(one, ask(spark, "pear"), 5, 4, 2).count() == 5
+
+
+def test_searches_of_an_index(spark):
+    ix = built(from_rows(spark, SONGS))
+    assert [r.id for r in ix.complete(ask(spark, "danc")).orderBy("rank").collect()] == [2, 3]
+    assert [r.id for r in ix.complete_aliases(ask(spark, "is this the real")).collect()] == [1]

@@ -10,7 +10,7 @@ from typeahead import aio, cli
 from typeahead.engine import Client
 from typeahead.errors import ConflictError, InvalidInputError, NotFoundError
 from typeahead.plans.options import CleanupPolicy, CompactionPolicy
-from typeahead.storage.database import Database, compaction_run
+from typeahead.storage.database import Database, compaction_run, connect
 from typeahead.streaming.inbox import ChangeSet, Ingestor, Replica, pending, submit
 
 
@@ -127,3 +127,15 @@ def test_collections_async_and_command_line(spark, db, tmp_path):
     assert "Road trip" in out.getvalue()
     Client(db).drop_collection("songs")
     assert Client(db).collections() == []
+
+
+def test_change_sets_wait_in_the_inbox(spark, tmp_path):
+    db = connect(spark, str(tmp_path / "db"))
+    db.submit(ChangeSet().upsert("songs", [{"id": 1, "text": "a"}]))
+    assert db.pending_change_sets() == 1
+    one, two = Ingestor(db, "one"), Ingestor(db, "two")
+    one.stream(str(tmp_path / "check")).awaitTermination()
+    assert db.pending_change_sets() == 0
+    assert [r.id for r in db.open_index("songs").documents.collect()] == [1]
+    with pytest.raises(ConflictError, match="holds the lease"):
+        two.stream(str(tmp_path / "other"))

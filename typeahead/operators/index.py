@@ -169,3 +169,25 @@ class Index:
         from ..plans.lineage import cut
 
         return Index(cut(self.documents), self.build, self.options)
+
+    # searches over a DataFrame of queries(qid, query[, contexts][, limit]) or (qid, vector[, contexts])
+    def complete(self, queries: DataFrame, limit: int = 10, marks: bool = True) -> DataFrame:
+        from .complete import complete
+
+        return complete(self, queries, limit, marks)
+
+    def complete_aliases(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        from .complete import query_set
+        from .retrieve import complete_aliases
+
+        return complete_aliases(self, query_set(queries, limit))
+
+    def vector_search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        from .vectors import vector_search
+
+        return vector_search(self, queries, limit)
+
+    def hybrid_search(self, queries: DataFrame, limit: int = 10, options=None) -> DataFrame:
+        from .vectors import hybrid_search
+
+        return hybrid_search(self, queries, limit, options)
