@@ -136,7 +136,7 @@ class Collection:
         s = e["segments"]
         return {"documents": len(self.db.open_index(self.name, self.namespace)), "segments": len(s), "rows": sum(x["documents"] for x in s), "deletes": sum(x["deletes"] for x in s), "bytes": sum(x["bytes"] for x in s), "max_score": e["max_score"]}
 
-    def complete(self, queries: DataFrame, limit: int = 10, layers: tuple[str, ...] = (), aliases: bool = False, vectors: bool = False, overfetch: int = 4) -> DataFrame:
+    def complete(self, queries: DataFrame, limit: int = 10, layers: tuple[str, ...] = (), aliases: bool = False, vectors: bool = False, overfetch: int = 2) -> DataFrame:
         """Hits over this collection and further layers; with synonyms below, or fused with vectors.
 
         Adds the collection that each hit came from.
@@ -144,7 +144,7 @@ class Collection:
         stack = [self.db.layer(n, self.namespace) for n in (self.name, *layers)]
         kind = queries.schema["qid"].dataType
         if vectors:
-            hits = L.hybrid_layers(stack, queries, limit, overfetch, HybridOptions()).select("qid", "id", "score", "kind", "rank")
+            hits = L.hybrid_layers(stack, queries, limit, overfetch, options=HybridOptions()).select("qid", "id", "score", "kind", "rank")
         else:
             hits = L.complete_layers(stack, queries, limit, overfetch)
         if aliases:

@@ -65,22 +65,22 @@ def _fetch(layers: list[Layer], listed: int | None, limit: int, overfetch: int)
     return limit * overfetch if (listed or len(layers)) > 1 else limit
 
 
-def complete_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None) -> DataFrame:
+def complete_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 2, listed: int | None = None) -> DataFrame:
     n = _fetch(layers, listed, limit, overfetch)
     return merge(layers, [ranked(x.index, query_set(queries, n)) for x in layers], limit)
 
 
-def aliases_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None) -> DataFrame:
+def aliases_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 2, listed: int | None = None) -> DataFrame:
     n = _fetch(layers, listed, limit, overfetch)
     return merge(layers, [complete_aliases(x.index, query_set(queries, n)).withColumn("kind", F.lit("synonym")) for x in layers], limit)
 
 
-def vectors_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None) -> DataFrame:
+def vectors_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 2, listed: int | None = None) -> DataFrame:
     n = _fetch(layers, listed, limit, overfetch)
     return merge(layers, [vector_search(x.index, queries, n).withColumn("kind", F.lit("semantic")) for x in layers], limit, scaled=False)
 
 
-def hybrid_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 4, listed: int | None = None, options: HybridOptions | None = None) -> DataFrame:
+def hybrid_layers(layers: list[Layer], queries: DataFrame, limit: int = 10, overfetch: int = 2, listed: int | None = None, options: HybridOptions | None = None) -> DataFrame:
     o = options or HybridOptions()
     n = o.fetch(limit)
     kind = queries.schema["qid"].dataType

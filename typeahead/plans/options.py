@@ -26,7 +26,7 @@ class IndexOptions:
 class SearchOptions:
     limit: int = 10
     contexts: tuple[str, ...] = ()
-    overfetch: int = 4
+    overfetch: int = 2
     ignore_missing_layers: bool = False
 
 

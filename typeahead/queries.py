@@ -412,8 +412,8 @@ def _layers(spark, d) -> list[L.Layer]:
 
 LAYER_ASK = [(1, "cold", None), (2, "widget", None)]
 TENANT = "d0 AS (SELECT id, text, CAST(0.25 AS FLOAT) AS w, tags, synonyms, abbreviations FROM (WITH " + O.PART + " SELECT * FROM d0) WHERE id % 7 = 0)"
-LAYER_SQL = f"""WITH a AS (WITH {O.ranked(LAYER_ASK, 40)} SELECT qid, id, score, kind, 0 AS layer, r, (SELECT top FROM m) AS top FROM hit WHERE r <= 40),
-b AS (WITH {O.ranked(LAYER_ASK, 40, TENANT)} SELECT qid, id, score, kind, 1 AS layer, r, (SELECT top FROM m) AS top FROM hit WHERE r <= 40),
+LAYER_SQL = f"""WITH a AS (WITH {O.ranked(LAYER_ASK, 20)} SELECT qid, id, score, kind, 0 AS layer, r, (SELECT top FROM m) AS top FROM hit WHERE r <= 20),
+b AS (WITH {O.ranked(LAYER_ASK, 20, TENANT)} SELECT qid, id, score, kind, 1 AS layer, r, (SELECT top FROM m) AS top FROM hit WHERE r <= 20),
 u AS (SELECT qid, id, score, kind, layer, r FROM a WHERE id % 7 <> 0 AND id % 11 <> 0 UNION ALL SELECT qid, id, score * (top / (SELECT any_value(top) FROM a)), kind, layer, r FROM b),
 z AS (SELECT u.*, coalesce((SELECT min(a.r) FROM a WHERE a.qid = u.qid AND a.id = u.id), 1000 + u.r) AS pos FROM u),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS rank FROM z)
@@ -432,7 +432,7 @@ def layer_aliases(spark, d):
     return out.select(F.col("qid").cast("long").alias("qid"), "rank", "id", F.round("score", 6).alias("score"), "kind", "layer")
 
 
-@query(f"WITH {_vectors()} , h AS (SELECT qid, id, x, r FROM vr WHERE r <= 40), u AS (SELECT * FROM h WHERE id % 3 <> 0) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, r) AS rank FROM u) WHERE rank <= 10")
+@query(f"WITH {_vectors()} , h AS (SELECT qid, id, x, r FROM vr WHERE r <= 20), u AS (SELECT * FROM h WHERE id % 3 <> 0) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, r) AS rank FROM u) WHERE rank <= 10")
 def layer_vectors(spark, d):
     docs = vector_docs(spark, d)
     blank = Index(docs.limit(0))
