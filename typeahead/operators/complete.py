@@ -52,7 +52,7 @@ def corrected(ix: Index, q: DataFrame, spelled: DataFrame) -> DataFrame:
     sub = sub.select(F.concat_ws("\x1f", "qid", "rank").alias("sub"), "qid", "phrase", "distance", "rank", "lim", "ctx")
     hits = one_pass(ix, sub.select(F.col("sub").alias("qid"), F.col("phrase").alias("query"), (F.col("lim") * 2).alias("lim"), "ctx"), 2)
     rows = hits.select(F.col("qid").alias("sub"), "id", F.col("score").alias("own")).join(sub.select("sub", "qid", "distance", F.col("rank").alias("place"), "lim"), "sub")
-    best = rows.groupBy("qid", "id", "lim").agg(F.min(F.struct("distance", "place", "own")).alias("b")).select("qid", "id", "lim", "b.*")
+    best = cut(rows.groupBy("qid", "id", "lim").agg(F.min(F.struct("distance", "place", "own")).alias("b")).select("qid", "id", "lim", "b.*"))
     per = best.groupBy("qid", "distance").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("qid").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return best.join(per.withColumn("before", before), ["qid", "distance"]).filter("before < 2 * lim").select("qid", "id", "distance", "place", "own")
@@ -117,6 +117,7 @@ def one_pass(ix: Index, queries: DataFrame, depth: int) -> DataFrame:
 
 def ranked(ix: Index, q: DataFrame, retry: bool = True) -> DataFrame:
     """Hits of a query set as ``query_set`` makes it, with the short-query path and the retry on long words."""
+    ix = ix.stored()
     short = short_queries(ix, q).withColumnRenamed("q", "short_q")
     q = cut(q.join(short, "qid", "left"))
     asked = q.select("qid", F.coalesce("short_q", "query").alias("query"), F.when(F.col("short_q").isNotNull(), ix.options.short_query_limit).otherwise(F.col("lim")).alias("lim"), "ctx")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.edits import nearest
+from ..plans.lineage import cut
 from .index import Index
 from .retrieve import docs_with_words, starting_with
 
@@ -134,7 +135,7 @@ def phrases(ix: Index, q: DataFrame) -> DataFrame:
     typing = starting_with(words.filter("last").select("qid", "word").withColumnRenamed("word", "term"), "term", ix.dictionary, "word").select("qid").distinct()
     words = words.join(typing.withColumn("begun", F.lit(True)), "qid", "left")
     words = words.withColumn("typing", F.col("last") & F.coalesce("begun", F.lit(False))).withColumn("prefix", F.col("last") & (F.length("word") >= 3))
-    words = words.withColumn("short", F.length("word") < least)
+    words = cut(words.withColumn("short", F.length("word") < least))
     single = words.filter((F.size("all_words") == 1) & (F.length("word") > 6))
     cuts = single.select("qid", "word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("at"))
     halves = cuts.select("qid", "at", F.expr("substring(word, 1, at)").alias("l"), F.expr("substring(word, at + 1)").alias("r"))
@@ -146,7 +147,7 @@ def phrases(ix: Index, q: DataFrame) -> DataFrame:
         .unionByName(q.select(F.col("ql").alias("term"), no))
         .distinct()
     )
-    near = near_words(ix, terms)
+    near = cut(near_words(ix, terms))
     item = F.struct("rank", "found", "distance", F.col("n").cast("long").alias("n"))
     lists = near.groupBy("term", "prefix").agg(F.array_sort(F.collect_list(item)).alias("near"))  # NEAR entries at most
     fit = fitting(ix, words, near).groupBy("qid", "place").agg(F.array_sort(F.collect_list(F.struct((-F.col("together")).alias("o"), "rank", "found", "distance"))).alias("fit"))

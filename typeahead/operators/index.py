@@ -73,6 +73,20 @@ class Index:
             self.__dict__[name] = getattr(self, name).persist()
         return self
 
+    def stored(self) -> Index:
+        """Write the tables that searches read, once, so that no pass derives them again."""
+        if "_stored" not in self.__dict__ and "titles" not in self.__dict__:
+            from concurrent.futures import ThreadPoolExecutor
+
+            from ..plans.lineage import cut
+
+            with ThreadPoolExecutor(4) as pool:
+                for names in (("docs", "postings", "aliases", "freq"), ("titles", "dictionary", "variants")):  # the second are made of the first
+                    made = [(n, getattr(self, n)) for n in names]
+                    self.__dict__.update(zip(names, pool.map(cut, [t for _, t in made])))
+            self.__dict__["_stored"] = True
+        return self
+
     def unpersist(self) -> None:
         for name in ("docs", "postings", "freq", "aliases", "titles", "dictionary", "variants"):
             if name in self.__dict__:
