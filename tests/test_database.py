@@ -7,9 +7,10 @@ import time
 import pytest
 
 from typeahead import aio, cli
-from typeahead.engine import Client
+from typeahead.engine import Client, Engine
 from typeahead.errors import ConflictError, InvalidInputError, NotFoundError
 from typeahead.plans.options import CleanupPolicy, CompactionPolicy
+from typeahead.storage import database
 from typeahead.storage.database import Database, compaction_run, connect
 from typeahead.streaming.inbox import ChangeSet, Ingestor, Replica, pending, submit
 
@@ -139,3 +140,56 @@ def test_change_sets_wait_in_the_inbox(spark, tmp_path):
     assert [r.id for r in db.open_index("songs").documents.collect()] == [1]
     with pytest.raises(ConflictError, match="holds the lease"):
         two.stream(str(tmp_path / "other"))
+
+
+def test_claims_last_while_their_change_set_lies_in_the_inbox(db, monkeypatch):
+    """A change set whose file could not be deleted is not applied again, however many came after it."""
+    monkeypatch.setattr(database, "CLAIMS", 2)
+    lingers = submit(db, ChangeSet().upsert("a", rows(0, 1)))
+    body = db.store.get(f"_inbox/{lingers}.json")
+    worker = Ingestor(db, "one")
+    assert worker.run_once() == 1
+    db.store.put(f"_inbox/{lingers}.json", body)
+    for k in range(5):
+        db.begin().claim([f"other-{k}"]).commit()
+    assert db.latest()["applied"] == [lingers, "other-2", "other-3", "other-4"]
+    version = db.latest_version()
+    assert worker.run_once() == 0
+    assert (db.latest_version(), pending(db)) == (version, [])
+
+
+def test_engine_of_a_database_follows_and_reports(db, monkeypatch):
+    db.begin().append("a", rows(0, 2)).commit()
+    held = db.namespace()
+    engine = db.engine()
+    assert (engine.names(), engine.sync_status, engine.sync()) == (["a"], None, 1)
+    db.begin().append("b", rows(0, 1)).commit()
+    assert (engine.names(), engine.sync(), engine.names(), held.names()) == (["a"], 2, ["a", "b"], ["a"])
+    with pytest.raises(InvalidInputError):
+        Engine().sync()
+    with pytest.raises(NotFoundError):
+        db.namespace("none")
+
+    def until(done):
+        end = time.time() + 20
+        while not done(engine.sync_status or {}) and time.time() < end:
+            time.sleep(0.05)
+        return done(engine.sync_status or {})
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Database, "latest_version", lambda self: 1 // 0)
+        engine.source.follow(0.05)
+        assert until(lambda s: "ZeroDivisionError" in (s.get("error") or ""))
+    assert until(lambda s: s.get("synced_at") and s["error"] is None)
+    db.begin().append("c", rows(0, 1)).commit()
+    assert until(lambda s: engine.names() == ["a", "b", "c"])
+    engine.close()
+
+
+def test_a_collection_fuses_with_vectors(spark, db):
+    c = Client(db).create_collection("songs")
+    pad = lambda *v: [float(x) for x in v] + [0.0] * (8 - len(v))
+    c.add([{"id": 1, "text": "Dancing Queen", "vector": pad(1)}, {"id": 2, "text": "Purple Rain", "vector": pad(0, 1)}])
+    asked = spark.createDataFrame([(7, "danc", pad(0, 1))], "qid long, query string, vector array<double>")
+    got = {(r.qid, r.id, r.kind) for r in c.complete(asked, vectors=True).collect()}
+    assert got == {(7, 1, "prefix"), (7, 2, "semantic")}

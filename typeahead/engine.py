@@ -63,6 +63,7 @@ class Engine:
 
     def __init__(self):
         self._lock, self._spaces = threading.Lock(), {}
+        self.source = None  # the replica that feeds an engine of a database
 
     def publish(self, namespace: str, layers: dict[str, Layer]) -> int:
         check_name(namespace)
@@ -76,6 +77,23 @@ class Engine:
             self._spaces = spaces
         return version
 
+    def sync(self) -> int | None:
+        """Load the database's newest version now; only engines of a database can."""
+        if self.source is None:
+            raise InvalidInputError("only an engine of a database syncs")
+        self.source.sync()
+        return self.source.version or None
+
+    @property
+    def sync_status(self) -> dict | None:
+        """When the last sync in the background ran and how it failed, if it did; None before the first."""
+        return self.source.status if self.source else None
+
+    def close(self) -> None:
+        """End the sync in the background."""
+        if self.source:
+            self.source.stop()
+
     def namespaces(self) -> list[str]:
         return sorted(self._spaces)
 
@@ -167,6 +185,10 @@ class Client:
     def namespace(self, name: str) -> Client:
         return Client(self.database, name)
 
+    def sync(self) -> int | None:
+        """The newest version; collections always read it."""
+        return self.database.latest_version() or None
+
     def collections(self) -> list[str]:
         return self.database.index_names(self.namespace_name)
 
