@@ -149,6 +149,36 @@ def test_forest_isolates_outliers():
     assert far.max() < np.quantile(forest.path(x), 0.05)
 
 
+def test_forest_counts_every_labelled_row(spark):
+    """Unsound rows that come after 20,000 others by hash, or whose id is in the fold of op4 and op5, set the threshold too."""
+    words = "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', k, 'x', doc_id % 11, if({bad}, '##', ''))))"
+    for n, bad in ((2_000, "crc32(cast(doc_id as string)) % 5 = 0 and doc_id < 200"), (26_000, "rank > 21500")):
+        rows = spark.range(n).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "row_number() over (order by crc32(cast(doc_id as string)) % 5 = 0, xxhash64(doc_id)) rank")
+        rows = rows.selectExpr("doc_id", f"int({bad}) bad").selectExpr("doc_id", words.format(bad="bad = 1") + " text", "1 - bad quality").cache()
+        forest = quality.fit(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+        judged = quality.judge(rows, forest).join(rows.select("doc_id", "quality"), "doc_id")
+        kept = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+        assert kept.keys() == {(1, True), (0, False)} and sum(kept.values()) == n
+
+
+def test_threshold_by_brute_force(spark):
+    """The cut of most gain against a loop over all cuts between different paths, with ties and repeated rows."""
+    rng = np.random.default_rng(5)
+    for size, digits in ((4000, 3), (4000, 12), (3000, 0), (900, 1)):
+        good = rng.random(size) < 0.8
+        path = np.round(np.where(good, rng.normal(9, 0.7, size), rng.normal(7, 1, size)), digits)
+        n = rng.integers(1, 4, size)
+        best, want = 0, -np.inf
+        steps = np.unique(path)
+        for low, high in zip(steps, steps[1:]):
+            lost, caught = n[good & (path <= low)].sum(), n[~good & (path <= low)].sum()
+            if lost <= quality.MAX_WRONG * n[good].sum() and caught - lost > best:
+                best, want = caught - lost, (low + high) / 2
+        rows = spark.createDataFrame(zip(path.tolist(), good.tolist(), n.tolist()), "path double, good boolean, n long")
+        assert quality.calibrate(rows) == want
+    assert quality.calibrate(rows.filter("good")) == quality.calibrate(rows.filter("not good")) == quality.calibrate(rows.limit(0)) == -np.inf
+
+
 def test_hard_cases(spark, hard_docs):
     docs, labels = labelled(spark, 60)
     n, none = hard_docs.count(), labels.limit(0)

@@ -47,7 +47,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.fit_and_judge(docs, table(spark, sf_dir, "labels"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
