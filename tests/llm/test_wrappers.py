@@ -143,3 +143,42 @@ def test_menus_of_any_length_and_the_wrapper_decides():
         wrapper = W.infer([page(i) for i in range(5)])
         assert W.extract(page(7), wrapper) == "text 7 more 7"
         assert W.extract(page(7), None).startswith("Item")
+
+
+def test_every_page_is_learned(spark):
+    """Parts that are there or not in all 64 ways: each page is accepted, and the site's words quoted in a slot stay."""
+    parts = ("<h2>a {i}</h2>", "<ul><li>b {i}</li></ul>", "<pre>c {i}</pre>", "<blockquote>d {i}</blockquote>", "<h3>e {i}</h3>", "<h4>f {i}</h4>")
+    rows, want = [], {}
+    for i in range(128):
+        held = [x.format(i=i) for k, x in enumerate(parts) if i >> k & 1]
+        quote = ["<p>Read our magazine</p>", f"<p>after {i}</p>"] * (i >= 64)
+        inner = [f"<h1>Title {i}</h1>", *held, f"<p>one {i}</p>", f"<p>two {i}</p>", *quote]
+        rows.append((i, f"http://one.host/{i}", f"<body><article>{''.join(inner)}<p>Read our magazine</p></article></body>"))
+        want[i] = " ".join(re.sub("<[^>]*>", "", x) for x in inner)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ((_, _, wrapper),) = W.wrappers(df, W.facts(df)).collect()
+    fixed, program = W._loaded(wrapper)
+    assert all(W.match(program, W._stream(W.Page(html), fixed)) for _, _, html in rows)
+    assert {r.page_id: r.text for r in W.extract_pages(df).collect()} == want
+    assert W.infer([html for _, _, html in rows]) == wrapper
+
+
+def test_expressions_of_free_pages_stay_small():
+    """Pages that agree on no order: all are accepted, by an expression bounded by the longest, in parts too."""
+    import random
+
+    r = random.Random(8)
+    kinds = ("p", "h2", "ul", "pre", "h3", "table", "h4")
+    pages = []
+    for _ in range(300):
+        tokens = [x for k in (r.choice(kinds) for _ in range(r.randrange(5, 60))) for x in (k, W.SLOT, "/" + k)]
+        pages.append(["body", *tokens, "p", W.FIXED + "Imprint", "/p", "/body"])
+    shapes = [json.dumps(W.fold(p)) for p in pages]
+    whole = W.learn(dict.fromkeys(shapes, 1))
+    merged = W.learn({json.dumps(W.learn(dict.fromkeys(shapes[k::5], 1))): 60 for k in range(5)})
+    for expression in (whole, merged):
+        assert W._size(expression) <= W.GROWTH * max(W._size(json.loads(s)) for s in shapes)
+        program = W._program(expression)
+        for p in pages:
+            taken = W.match(program, p)
+            assert taken is not None and taken[-1] and not any(taken[:-1])

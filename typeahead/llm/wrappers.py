@@ -3,11 +3,15 @@
 A page is a stream of tokens: block elements opening and closing, and text. Pages
 of a host whose outermost containers are the same share a template, and each
 template has a wrapper, a union-free regular expression over such streams: tokens,
-text slots, optional groups ``(...)?`` and repeated groups ``(...)+``. It starts
-as the first sample page and is aligned with each further one: equal tokens
-stay, text that differs becomes a slot, a stretch that only one side has becomes
+text slots, optional groups ``(...)?`` and repeated groups ``(...)+``. It is
+learned from the different streams, repeats folded, of all its pages: it starts as
+the most frequent one of those with the fewest fixed texts and is aligned with each
+further one that it does not accept: equal tokens
+stay, text becomes a slot, a stretch that only one side has becomes
 optional, and a stretch that repeats what stands beside it becomes a repeated
-group. Texts on every page of a template, of two different pages at least and in an
+group. Where pages agree on so little that an expression outgrows GROWTH of its
+longest streams, what lies between its outermost optional groups becomes a free
+stretch, any row of the tokens seen there. Texts on every page of a template, of two different pages at least and in an
 article or main part of three, are the expression's fixed texts. Each page's stream is matched with the
 expression: what its fixed texts take is the site's own, what slots and groups
 take is content unless it stands in a part that names itself a menu, form, advert
@@ -16,8 +20,8 @@ their places; a page without a second one of its template, what any template of
 its host has fixed. Where a site marks an article or main part, content is what
 stands in it; otherwise it is everything else.
 
-Fixed texts are counted over all pages. The order of an expression is aligned from
-SAMPLE different pages of its template at most, the least by hash of page_id.
+Fixed texts are counted over all pages. Streams of a template beyond SHAPES are
+learned in parts, whose expressions are then aligned with each other.
 
 Edge cases: null and empty html give an empty text; pages without url share one
 wrapper; unclosed and misnested elements close where HTML closes them; repeated
@@ -30,6 +34,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -37,12 +42,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_within, materialize
 
-SAMPLE, PERIOD, OUTER = 6, 12, 3
+PERIOD, OUTER, GROWTH, SHAPES = 12, 3, 4, 256
 #: Cells of a comparison above which a pair of streams is halved first.
 CELLS = 1 << 16
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -233,8 +238,10 @@ def template(page: Page) -> str:
     return "|".join(sorted(out))
 
 
-# expressions: lists of tokens, SLOT, ["?", expression] and ["+", expression]; a fixed text is FIXED + text
+# expressions: lists of tokens, SLOT, ["?", expression], ["+", expression] and ["*", free tokens]; a fixed text is FIXED + text
 SLOT, FIXED = "\0", "\1"
+#: A text in the streams of ``facts``.
+TEXT = "#"
 
 
 def _shape(token) -> str:
@@ -339,6 +346,51 @@ def align(wrapper: list, stream: list) -> list:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _tokens(item: str) -> frozenset:
+    """The tokens of an item as JSON."""
+    out, todo = set(), [json.loads(item)]
+    while todo:
+        x = todo.pop()
+        for y in x[1]:
+            todo.append(y) if isinstance(y, list) else out.add(_shape(y))
+    return frozenset(out)
+
+
+def _size(items: list) -> int:
+    return sum(1 + _size(x[1]) if isinstance(x, list) and x[0] != "*" else 1 for x in items)
+
+
+def loosen(items: list) -> list:
+    """An expression with a free stretch from its first to its last optional group or free stretch."""
+    at = [k for k, x in enumerate(items) if isinstance(x, list) and x[0] != "+"]
+    if not at:
+        return items
+    return [*items[: at[0]], ["*", sorted(_tokens(json.dumps(["*", items[at[0] : at[-1] + 1]])))], *items[at[-1] + 1 :]]
+
+
+def learn(shapes: dict[str, int]) -> list:
+    """The expression that accepts all of some folded streams or expressions, given as JSON with the number of their pages.
+
+    Those with the fewest fixed texts come first, so that one more in a slot stays content.
+    """
+    out: list | None = None
+    program, longest = [], 0
+    for shape in sorted(shapes, key=lambda x: (x.count("\\u0001"), -shapes[x], x)):
+        items = json.loads(shape)
+        longest = max(longest, _size(items))
+        if out is None:
+            out = items
+        else:
+            if match(program, [_shape(x) for x in items]) is not None:
+                continue
+            out = align(out, items)
+            if _size(out) > GROWTH * longest:
+                out = loosen(out)
+        program = _program(out, True)
+    return out or []
+
+
 def _stream(page: Page, fixed) -> list[str]:
     """The tokens of a page with its fixed texts told apart."""
     blocks = iter(page.blocks)
@@ -351,8 +403,11 @@ def _stream(page: Page, fixed) -> list[str]:
     return out
 
 
-def _program(items: list) -> list:
-    """An expression as tokens and pairs of places to go on from."""
+def _program(items: list, whole: bool = False) -> list:
+    """An expression as tokens, sets of free tokens, and tuples of places to go on from.
+
+    With ``whole`` a group also takes itself, as JSON, in one step.
+    """
     out: list = []
 
     def add(items: list) -> None:
@@ -360,13 +415,19 @@ def _program(items: list) -> list:
             at = len(out)
             if not isinstance(x, list):
                 out.append(x)
-            elif x[0] == "?":
-                out.append(None)
-                add(x[1])
-                out[at] = (at + 1, len(out))
+            elif x[0] == "*":
+                out.extend([(at + 1, at + 3), frozenset(x[1]), (at,)])
             else:
+                out.extend([None, json.dumps(x), None] if whole else [None])
+                body = len(out)
                 add(x[1])
-                out.append((at, len(out) + 1))
+                if x[0] == "+":
+                    out.append((body, len(out) + 1))
+                after = (body, len(out)) if x[0] == "+" else (len(out),)
+                enter = (body,) if x[0] == "+" else (body, len(out))
+                out[at] = (at + 1, *enter) if whole else enter
+                if whole:
+                    out[at + 2] = after
 
     add(items)
     return out
@@ -402,12 +463,16 @@ def match(program: list, stream: list[str]) -> list[bool] | None:
             if at == end:
                 continue
             x = program[at]
+            if isinstance(x, frozenset):
+                slot, same = SLOT in x, t in x or (kind == "[" and _tokens(t) <= x)
+            else:
+                slot, same = x[:1] == SLOT, x == t
             if kind == SLOT:
-                if x[:1] == SLOT:
+                if slot:
                     step.append((cost, at + 1, (taken, False)))
-            elif x == t:
+            elif same:
                 step.append((cost, at + 1, (taken, True) if kind == FIXED else taken))
-            elif kind == FIXED and x[:1] == SLOT:
+            elif kind == FIXED and slot:
                 step.append((cost + 1, at + 1, (taken, False)))
         if not step:
             return None
@@ -423,7 +488,7 @@ def match(program: list, stream: list[str]) -> list[bool] | None:
 
 
 def infer(pages: list[str], keys: set[int] | None = None) -> str:
-    """The wrapper of sample pages, as JSON: expression, and fixed texts by place, which are those of ``keys`` if given."""
+    """The wrapper of pages, as JSON: expression, and fixed texts by place, which are those of ``keys`` if given."""
     parsed = list({tuple(p.blocks): p for p in (Page(p or "") for p in pages)}.values())
     seen: dict[tuple[str, str], int] = {}
     for p in parsed:
@@ -431,11 +496,8 @@ def infer(pages: list[str], keys: set[int] | None = None) -> str:
             seen[block] = seen.get(block, 0) + 1
     fixed = sorted(b for b, n in seen.items() if (n == len(parsed) >= least(b[0]) if keys is None else _key(*b) in keys))
     constant = set(fixed)
-    wrapper: list | None = None
-    for p in parsed if fixed else ():  # without fixed texts all is slots
-        folded = fold(_stream(p, constant))
-        wrapper = folded if wrapper is None else align(wrapper, folded)
-    return json.dumps({"expression": wrapper or [], "fixed": fixed})
+    streams = Counter(json.dumps(fold([_shape(t) for t in _stream(p, constant)])) for p in parsed) if fixed else {}  # without fixed texts all is slots
+    return json.dumps({"expression": learn(streams), "fixed": fixed})
 
 
 @lru_cache(maxsize=256)
@@ -467,20 +529,43 @@ def host(column: str = "url"):
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        number, same, keys = [], [], []
+        number, same, streams, keys = [], [], [], []
         for name, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(source or "")
             number.append(_number(name, template(page)))
             same.append(_number(*(x for place, text, _ in page.blocks for x in (place, text))))
-            keys.append(list({_key(place, text) for place, text, _ in page.blocks}))
-        yield pa.record_batch([batch.column("page_id"), batch.column("h"), batch.column("host"), pa.array(number, pa.int64()), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["page_id", "h", "host", "template", "same", "keys"])
+            streams.append(" ".join(TEXT if t[:1] == SLOT else t for t in page.tokens))
+            keys.append([_key(place, text) for place, text, _ in page.blocks])
+        columns = [pa.array(number, pa.int64()), pa.array(same, pa.int64()), pa.array(streams, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.record_batch([batch.column("page_id"), batch.column("h"), batch.column("host"), *columns], names=["page_id", "h", "host", "template", "same", "stream", "keys"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded streams as JSON; a fixed text is FIXED + its key."""
+    for batch in batches:
+        out = []
+        for stream, own in zip(batch.column("stream").to_pylist(), batch.column("own").to_pylist()):
+            left = iter(own)
+            out.append(json.dumps(fold([(f"{FIXED}{k}" if (k := next(left)) else SLOT) if t == TEXT else t for t in stream.split(" ")])))
+        yield pa.record_batch([batch.column("template"), pa.array(out, pa.string()), batch.column("n")], names=["template", "shape", "n"])
 
 
-def _infer_template(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("k", "ascending")])
-    first = {c: group.column(c)[0].as_py() for c in ("host", "template", "keys")}
-    wrapper = infer(group.column("html").to_pylist(), set(first["keys"] or ()))
-    return pa.table([pa.array([first["host"]]), pa.array([first["template"]], pa.int64()), pa.array([wrapper])], names=["host", "template", "wrapper"])
+def _learn_group(group: pa.Table) -> pa.Table:
+    shapes: Counter[str] = Counter()
+    for shape, n in zip(group.column("shape").to_pylist(), group.column("n").to_pylist()):
+        shapes[shape] += n
+    return pa.table([group.column("template").slice(0, 1), pa.array([json.dumps(learn(shapes))], pa.string()), pa.array([shapes.total()], pa.int64())], names=["template", "shape", "n"])
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers from expressions and keys, whose texts any page of a template has."""
+    for batch in batches:
+        out = []
+        for source, keys, shape in zip(*(batch.column(c).to_pylist() for c in ("html", "keys", "shape"))):
+            of_key = {_key(place, text): (place, text) for place, text, _ in Page(source or "").blocks}
+            named = lambda x: [named(y) for y in x] if isinstance(x, list) else FIXED + of_key[int(x[1:])][1] if x[:1] == FIXED else x
+            out.append(json.dumps({"expression": named(json.loads(shape or "[]")), "fixed": sorted(of_key[k] for k in keys or ())}))
+        yield pa.record_batch([batch.column("host"), batch.column("template"), pa.array(out, pa.string())], names=["host", "template", "wrapper"])
 
 
 def _identified(pages: DataFrame) -> DataFrame:
@@ -488,35 +573,47 @@ def _identified(pages: DataFrame) -> DataFrame:
 
 
 def facts(pages: DataFrame) -> DataFrame:
-    """(page_id, h, host, template, same, keys) of every page; pages of the same blocks have the same ``same``."""
-    rows = _identified(pages).select("page_id", "h", "host", "html").mapInArrow(_facts, "page_id long, h long, host string, template long, same long, keys array<long>")
+    """(page_id, h, host, template, same, stream, keys) of every page; pages of the same blocks have the same ``same``."""
+    rows = _identified(pages).select("page_id", "h", "host", "html").mapInArrow(_facts, "page_id long, h long, host string, template long, same long, stream string, keys array<long>")
     return materialize(rows, "facts")
 
 
-def wrappers(pages: DataFrame, known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def expressions(known: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(template, shape) with the expression, as JSON, that accepts every page of a template."""
+    rows = "template long, shape string, n long"
+    own = F.expr("transform(keys, k -> if(array_contains(constant, k), k, 0L))")
+    constant = fixed.filter("size(keys) > 0").select("template", F.col("keys").alias("constant"))  # without fixed texts all is slots
+    constant = broadcast_within(constant, F.lit(16) + 8 * F.size("constant"))
+    streams = known.join(constant, "template").select("template", "stream", own.alias("own")).groupBy("template", "stream", "own").agg(F.count("*").alias("n"))
+    shapes = materialize(streams.mapInArrow(_folded, rows).groupBy("template", "shape").agg(F.sum("n").alias("n")), "shapes")
+    pieces = shapes.groupBy("template").agg(F.ceil(F.count("*") / SHAPES).alias("pieces"))
+    shapes = shapes.join(broadcast_within(pieces, F.lit(16)), "template").withColumn("piece", F.pmod(F.xxhash64("shape"), "pieces"))
+    learned = shapes.groupBy("template", "piece").applyInArrow(_learn_group, rows)
+    return learned.groupBy("template").applyInArrow(_learn_group, rows).select("template", "shape")
+
+
+def wrappers(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(host, template, wrapper) of every template with two different pages."""
-    each = known.select("template", "same", F.explode(F.concat(F.array(F.lit(0).cast("long")), "keys")).alias("key")).distinct()
+    each = known.select("template", "same", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.array_distinct("keys"))).alias("key")).distinct()
     counted = materialize(each.groupBy("template", "key").agg(F.count("*").alias("n")).filter("n > 1"), "counted")
     totals = counted.filter("key = 0").select("template", F.col("n").alias("total"))
     on_all = counted.filter("key != 0").join(totals, "template").filter("n = total and n >= 2 + (key & 1)")
-    fixed = materialize(totals.join(on_all.groupBy("template").agg(F.collect_list("key").alias("keys")), "template", "left"), "fixed")
-    fixed = broadcast_within(fixed, F.lit(32) + 8 * F.coalesce(F.greatest(F.size("keys"), F.lit(0)), F.lit(0)))
-    order = Window.partitionBy("template").orderBy("least")
-    ids = known.select("template", "same", "page_id", "h").groupBy("template", "same").agg(F.min(F.struct(F.xxhash64("page_id").alias("o"), "page_id", "h")).alias("least"))
-    ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("template", "k", "least.page_id", "least.h")
-    ids = materialize(ids.join(fixed, "template"), "sample")
-    ids = broadcast_within(ids, F.lit(48) + 8 * F.coalesce(F.greatest(F.size("keys"), F.lit(0)), F.lit(0)))
+    fixed = materialize(totals.join(on_all.groupBy("template").agg(F.sort_array(F.collect_list("key")).alias("keys")), "template", "left"), "fixed")
+    learned = materialize(expressions(known, fixed), "expressions")
+    one = known.groupBy("template").agg(F.min(F.struct("page_id", "h", "host")).alias("one")).select("template", "one.*")  # any page has all fixed texts
+    ids = materialize(fixed.select("template", "keys").join(one, "template").join(learned, "template", "left"), "expressions")
+    ids = broadcast_within(ids, F.lit(64) + F.length("host") + F.coalesce(F.octet_length("shape"), F.lit(0)) + 8 * F.coalesce(F.greatest(F.size("keys"), F.lit(0)), F.lit(0)))
     held = _identified(pages)
-    same_page = [held["page_id"].eqNullSafe(ids["page_id"]), held["h"].eqNullSafe(ids["h"])]
-    chosen = held.join(ids, same_page).select("template", "host", "k", "html", "keys").dropDuplicates(["template", "k", "host"])
-    return chosen.groupBy("template").applyInArrow(_infer_template, "host string, template long, wrapper string")
+    same_page = [held["page_id"].eqNullSafe(ids["page_id"]), held["h"].eqNullSafe(ids["h"]), held["host"] == ids["host"]]
+    chosen = held.join(ids, same_page).select("template", held["host"], "html", "keys", "shape").dropDuplicates(["template"])
+    return chosen.mapInArrow(_made, "host string, template long, wrapper string")
 
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE, most: int = 32 << 20) -> DataFrame:
+def extract_pages(pages: DataFrame, most: int = 32 << 20) -> DataFrame:
     """(page_id, url, text, n_chars) of every page. Wrappers of at most ``most`` bytes go to every worker; beyond that pages are joined."""
     spark = pages.sparkSession
     known = facts(pages)
-    made = materialize(wrappers(pages, known, sample), "wrappers")
+    made = materialize(wrappers(pages, known), "wrappers")
     of_host = made.select("host", F.explode(F.from_json("wrapper", "fixed array<array<string>>")["fixed"]).alias("x")).groupBy("host").agg(F.collect_set("x").alias("fixed"))
     of_host = materialize(of_host.select("host", F.to_json(F.struct(F.expr("cast(array() as array<string>)").alias("expression"), "fixed")).alias("wrapper")), "hosts")
     size = lambda df: df.agg(F.sum(F.length("host") + F.octet_length("wrapper"))).first()[0] or 0
