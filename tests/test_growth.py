@@ -30,7 +30,7 @@ def broadcast_rows(spark, run) -> int:
     return most
 
 
-@pytest.mark.parametrize("name", ["prefix_topk"])
+@pytest.mark.parametrize("name", ["prefix_topk", "alias_prefix", "complete_direct", "complete_fuzzy", "complete_with_highlights", "context_filter", "layer_merge", "layer_aliases"])
 def test_no_index_table_is_broadcast(spark, name):
     """sf0.01 has 2,000 parts, whose tables are small on disk; entries up to a cap of the search may be broadcast."""
     assert broadcast_rows(spark, lambda: Q.QUERIES[name](spark, "/root/testdata/sf0.01").collect()) < 2000
