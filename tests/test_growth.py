@@ -1,5 +1,7 @@
 """What must not grow with the tables: rows sent to every task, entries listed for each query, rows one task orders."""
 
+from functools import cached_property
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -62,7 +64,9 @@ def test_words_inside_need_no_postings_of_all_texts(spark, monkeypatch):
 
     texts = ["the a of", "them and another", "then", "a der die", "der dieb ist", "The the a"]
     ix = Index(cut(from_rows(spark, [{"id": i, "text": t, "popularity": i / 10} for i, t in enumerate(texts)])))
-    monkeypatch.setattr(Index, "postings", property(none))
+    made = cached_property(none)
+    made.__set_name__(Index, "postings")
+    monkeypatch.setattr(Index, "postings", made)
     q = spark.createDataFrame([("1", "the a"), ("2", "der die i"), ("3", "of is")], "qid string, query string")
     got = R.infix(ix, R.prepare(cut(query_set(q, 10)))).collect()
     assert sorted((r.qid, r.id) for r in got) == [("1", 0), ("1", 1), ("1", 5), ("2", 4)]
